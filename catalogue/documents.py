@@ -13,8 +13,8 @@ from catalogue.views import (
     document_files,
     document_registry,
     sql_blanked,
+    spread_table,
     sql_text,
-    table,
     with_ctes,
 )
 from duskwatch import registry_from_rows
@@ -44,7 +44,7 @@ SENTENCE_END = r"\.\n[A-Z]"
 
 def match_multiline(spark, folder):
     found = line_hits(safe_text(F.col("text")), SENTENCE_END, cap=None)
-    return table(spark, folder, "documents").select("doc_id", F.inline(found))
+    return spread_table(spark, folder, "documents", "doc_id", "text").select("doc_id", F.inline(found))
 
 
 _MULTILINE_SQL = rf"""
@@ -88,14 +88,14 @@ def size_cap(spark, folder):
 
 def comment_strip_html(spark, folder):
     blank = blank_comments(F.col("html"), MARKUP)
-    return table(spark, folder, "pages").select(
+    return spread_table(spark, folder, "pages", "page_id", "html").select(
         "page_id", F.length(blank).alias("n_chars"), F.md5(blank).alias("digest")
     )
 
 
 def comment_strip_script(spark, folder):
     blank = blank_comments(F.col("text"), PYTHON)
-    return table(spark, folder, "documents").select("doc_id", F.md5(blank).alias("digest"))
+    return spread_table(spark, folder, "documents", "doc_id", "text").select("doc_id", F.md5(blank).alias("digest"))
 
 
 _HTML_BLANK = sql_blanked("html", r"(?s)<!--.*?(?:-->|\z)|[^<]+|<", ["<!--"])
@@ -116,7 +116,7 @@ def _page_hits(spark, folder):
          "detect": {"sdk": sdk, "patterns": patterns, "models": models}}
         for id_, sdk, patterns, models in PAGE_ENTRIES
     ])
-    pages = table(spark, folder, "pages").select(
+    pages = spread_table(spark, folder, "pages", "page_id", "html").select(
         F.lit("web").alias("repo"),
         F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
         F.replace("html", F.lit(">"), F.lit(">\n")).alias("content"),

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duskwatch.sources.files import balance
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """For work on texts: the test tables are single files, which one core alone would read."""
+    return balance(table(spark, folder, name).select(*columns))
+
+
 def with_ctes(*parts: str) -> str:
     """Join CTE texts into one statement; the last part ends in the final SELECT."""
     *ctes, final = [part.strip().rstrip(",") for part in parts]
@@ -26,7 +33,8 @@ _DOC_PATH = (
 
 
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").selectExpr(
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    return spread_table(spark, folder, "documents", *columns).selectExpr(
         "source as repo", f"{_DOC_PATH} as path", "text as content",
         "cast(octet_length(text) as bigint) as size",
     )
@@ -180,7 +188,11 @@ _CODE_PATH = (
 
 
 def code_files(spark: SparkSession, folder: str) -> DataFrame:
-    files = table(spark, folder, "lineitem").selectExpr(
+    columns = (
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax",
+        "l_discount", "l_returnflag", "l_linestatus",
+    )
+    files = spread_table(spark, folder, "lineitem", *columns).selectExpr(
         "concat('s', l_suppkey) as repo", f"{_CODE_PATH} as path",
         f"{_CODE_TEXT} as content",
     )

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from duskwatch.fixed import JS_BOUNDARY, JS_EXTENSIONS
-from duskwatch.functions.text import js_trim
+from duskwatch.fixed import JS_EXTENSIONS
+from duskwatch.functions.text import any_true, js_trim
 
 # The import forms that count, as patterns.
 JS_IMPORT = (
-    rf"{JS_BOUNDARY}(?:(?:import|export){JS_BOUNDARY}[^;'\"`]*?{JS_BOUNDARY}from\s*"
+    r"(?<!\w)(?:(?:import|export)(?!\w)[^;'\"`]*?(?<!\w)from\s*"
     r"|import\s*(?:\(\s*)?|require\s*\(\s*)(['\"`])([^'\"`]+)\1"
 )
-PYTHON_FROM = rf"(?m)^[ \t]*from[ \t]+([.\w]+)[ \t]+import{JS_BOUNDARY}"
+PYTHON_FROM = r"(?m)^[ \t]*from[ \t]+([.\w]+)[ \t]+import(?!\w)"
 PYTHON_IMPORT = r"(?m)^[ \t]*import[ \t]+(.+)$"
 PYTHON_ALIAS = r"[ \t]+as[ \t]+"
 
@@ -21,9 +21,8 @@ PYTHON_ALIAS = r"[ \t]+as[ \t]+"
 def js_imports(text: Column) -> Column:
     """Raw specifiers of import, export-from, dynamic import and require."""
     found = F.regexp_extract_all(text, F.lit(JS_IMPORT), F.lit(2))
-    mentions = F.contains(text, F.lit("import")) | F.contains(text, F.lit("require"))
-    mentions = mentions | F.contains(text, F.lit("export"))
-    return F.when(mentions, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+    mentions = [F.contains(text, F.lit(w)) for w in ("import", "export", "require")]
+    return F.when(any_true(*mentions), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
 def python_imports(text: Column) -> Column:

@@ -44,7 +44,8 @@ def is_test_file(path: Column) -> Column:
 # One glob construct each: what to look for, the placeholder that guards it while the rest of the
 # glob is escaped, and the regex it becomes. A private-use placeholder cannot occur in a path.
 _CONSTRUCTS = (
-    (r"(?:(?<=^)|(?<=/))\*\*/(?:\*\*/)*", "\ue001", "(?:.*/)?"),
+    (r"^(?:\*\*/)+", "\ue000", "(?:^|/)"),
+    (r"(?<=/)(?:\*\*/)+", "\ue001", "(?:.*/)?"),
     (r"/\*\*\z", "\ue002", "(?:/.*)?"),
     (r"(?:(?<=^)|(?<=/))\*\*\z", "\ue003", ".*"),
     (r"\*+", "\ue004", "[^/]*"),
@@ -67,12 +68,14 @@ def glob_regex(glob: Column, dot: bool = True) -> Column:
     if not dot:
         guarded = F.regexp_replace(guarded, "(?:^|(?<=/))(?=[\ue004\ue005])", r"(?!\\.)")
     for _, mark, regex in _CONSTRUCTS:
-        if not dot and mark == "\ue001":
+        if not dot and mark in ("\ue000", "\ue001"):
             regex = r"(?:(?!\.)[^/]+/)*"
         elif not dot and mark in ("\ue002", "\ue003"):
             regex = regex.replace(".*", r"(?:(?!\.)[^/]+(?:/(?!\.)[^/]+)*)?")
         guarded = F.replace(guarded, F.lit(mark), F.lit(regex))
-    return F.concat(F.lit("^"), guarded, F.lit(r"\z"))
+    floating = F.startswith(glob, F.lit("**/")) if dot else F.lit(False)
+    start = F.when(floating, "").otherwise("^")
+    return F.concat(start, guarded, F.lit(r"\z"))
 
 
 def ignore_line_globs(line: Column) -> Column:
@@ -101,7 +104,6 @@ def ignore_file_regex(content: Column) -> Column:
 
 def matches_any_glob(path: Column, globs) -> Column:
     """True where ``path`` matches one of the caller's globs."""
-    test = F.lit(False)
-    for glob in globs:
-        test = test | F.rlike(path, glob_regex(F.lit(glob)))
-    return test
+    if not globs:
+        return F.lit(False)
+    return F.rlike(path, F.concat_ws("|", *[glob_regex(F.lit(glob)) for glob in globs]))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,22 +63,19 @@ MARKUP = CommentSyntax(block=(("<!--", "-->"),))
 SYNTAX_BY_EXTENSION = {**{e: C_FAMILY for e in (*JS_EXTENSIONS, "go")}, "py": PYTHON}
 
 
-def _any_of(tests: list[Column]) -> Column:
-    found = tests[0]
-    for test in tests[1:]:
-        found = found | test
-    return found
+def any_true(*tests: Column) -> Column:
+    return reduce(operator.or_, tests)
 
 
 def blank_comments(text: Column, syntax: CommentSyntax) -> Column:
     """Comments become spaces, newlines stay: every line and offset keeps its place."""
 
     def blank(token: Column) -> Column:
-        is_comment = _any_of([F.startswith(token, F.lit(o)) for o in syntax.openers])
+        is_comment = any_true(*[F.startswith(token, F.lit(o)) for o in syntax.openers])
         return F.when(is_comment, F.regexp_replace(token, r"[^\n]", " ")).otherwise(token)
 
     tokens = F.regexp_extract_all(text, F.lit(syntax.token_regex()), F.lit(0))
-    has_opener = _any_of([F.contains(text, F.lit(o)) for o in syntax.openers])
+    has_opener = any_true(*[F.contains(text, F.lit(o)) for o in syntax.openers])
     return F.when(has_opener, F.array_join(F.transform(tokens, blank), "")).otherwise(text)
 
 
@@ -126,13 +125,12 @@ def safe_text(text: Column) -> Column:
 
 def cite(match: Column) -> Column:
     """The matched text as evidence shows it: one line, no outer blanks, 120 characters."""
-    return F.substring(
-        js_trim(F.regexp_replace(match, f"[{JS_SPACE}]+", " ")), 1, MAX_TEXT_CHARS
-    )
+    one_line = F.trim(F.regexp_replace(match, f"[{JS_SPACE}]+", " "))
+    return F.substring(one_line, 1, MAX_TEXT_CHARS)
 
 
 def _newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 HIT = "array<struct<line:int,text:string>>"

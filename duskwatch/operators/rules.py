@@ -49,10 +49,8 @@ def _compiling(spark: SparkSession, regexes: list[str]) -> set[str]:
     if not regexes:
         return set()
     try:
-        one = spark.range(1).select(
-            *[F.lit("").rlike(regex).alias(f"r{n}") for n, regex in enumerate(regexes)]
-        )
-        one.collect()
+        tests = [F.lit("").rlike(regex).alias(f"r{n}") for n, regex in enumerate(regexes)]
+        spark.sql("SELECT 1").select(*tests).collect()
         return set(regexes)
     except PySparkException:
         if len(regexes) == 1:
@@ -83,7 +81,7 @@ def compile_rules(registry: DataFrame) -> RuleSet:
     wanted = registry.filter("match = 'pattern'").select(
         "id", "applies_to", "detect.sdk", "detect.models", "detect.patterns"
     )
-    entries = list(wanted.toLocalIterator())
+    entries = wanted.collect()
     scopes = sorted({s.lower() for e in entries for s in e.applies_to} - {ANY_SCOPE})
     compiled, rejected = [], []
     for entry in entries:

@@ -38,6 +38,15 @@ def read_checkouts(spark: SparkSession, root: str, max_bytes: int | None = None)
     )
 
 
+def balance(files: DataFrame) -> DataFrame:
+    """Spread a corpus that came in fewer splits than there are cores; larger ones stay put.
+
+    Looks at the number of splits only. Call it on a plain scan, before texts are worked on.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
+
+
 def file_kind(path: Column) -> Column:
     """What a path is to us: lets the side branches of a scan read their own partition only."""
     base = paths.basename(path)

@@ -144,8 +144,17 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.posexplode("entries").alias("entry_ord", "entry"))
 
 
+def pinned(registry: DataFrame, max_rows: int = 50_000) -> DataFrame:
+    """A registry of ordinary size, validated once and kept in the plan with its exact size; a
+    larger one stays as it is."""
+    rows = registry.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return registry
+    return registry.sparkSession.createDataFrame(rows, schema=registry.schema)
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return validate_entries(read_entries(spark, path))
+    return pinned(validate_entries(read_entries(spark, path)))
 
 
 def registry_from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -155,7 +164,7 @@ def registry_from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     texts = spark.createDataFrame(
         [(n, json.dumps(row)) for n, row in enumerate(rows)], "entry_ord int, text string"
     )
-    return validate_entries(entries_of_json(texts, "text", "entry_ord"))
+    return pinned(validate_entries(entries_of_json(texts, "text", "entry_ord")))
 
 
 # --- SRC-3: resolution ----------------------------------------------------------------
