@@ -54,7 +54,9 @@ def report_rows(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def append_reports(uploads: DataFrame, root: str, batch: int) -> None:
-    """Store a batch of uploads. A report already in the batch is kept once."""
-    reports, inventory = report_rows(uploads)
-    write_batch(inventory, root, "inventory", batch)
-    write_batch(reports.distinct(), root, "reports", batch)
+    """Store a batch of uploads. A report delivered twice, in one batch or in two, counts once."""
+    known = read_table(uploads.sparkSession, root, "reports", before=batch).select("report_id")
+    once = uploads.dropDuplicates(["repo", "reportedAt"])
+    reports, inventory = report_rows(once)
+    write_batch(inventory.join(known, "report_id", "left_anti"), root, "inventory", batch)
+    write_batch(reports.join(known, "report_id", "left_anti"), root, "reports", batch)
