@@ -264,7 +264,7 @@ def audit(spark, folder):
 
 
 _REGISTRY = """
-coerced AS (SELECT CAST(p_partkey AS INTEGER) AS entry_ord,
+coerced AS (SELECT p_partkey AS entry_ord,
   CASE WHEN p_size > 2 THEN concat(replace(p_name, ' ', '-'), '-', p_partkey) END AS id, p_brand AS vendor,
   CASE p_type WHEN 'ECONOMY' THEN 'high' WHEN 'LARGE' THEN NULL WHEN 'SMALL' THEN 'low' ELSE 'medium' END AS severity,
   CASE WHEN p_size < 20 THEN 'pattern' WHEN p_size < 30 THEN 'sdk' WHEN p_size < 40 THEN 'version' END AS match,

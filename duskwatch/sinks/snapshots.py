@@ -72,5 +72,5 @@ def refresh(
 def read_snapshot(spark: SparkSession, root: str, version: int) -> DataFrame:
     stored = spark.read.parquet(f"{root}/entries/version={version}")
     return validate_entries(
-        stored.select(F.parse_json("text").alias("entry"), F.col("entry_ord").cast("int"))
+        stored.select(F.parse_json("text").alias("entry"), F.col("entry_ord").cast("bigint"))
     )

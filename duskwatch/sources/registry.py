@@ -18,7 +18,7 @@ REGISTRY_SCHEMA = (
     "id string, vendor string, title string, severity string, match string, status string, "
     "applies_to array<string>, sunset_date string, announced_date string, source string, "
     f"confidence string, detect {DETECT}, version_range string, migration_url string, "
-    "summary string, entry_ord int"
+    "summary string, entry_ord bigint"
 )
 
 
@@ -119,7 +119,7 @@ def _schema_fields() -> list[str]:
 def entries_of_json(df: DataFrame, text: str, order: str) -> DataFrame:
     """A table with one JSON entry per row as ``raw(entry, entry_ord)``: scales with the table."""
     return df.select(
-        F.try_parse_json(F.col(text)).alias("entry"), F.col(order).cast("int").alias("entry_ord")
+        F.try_parse_json(F.col(text)).alias("entry"), F.col(order).cast("bigint").alias("entry_ord")
     )
 
 
@@ -141,7 +141,8 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
         raise RegistryError(f"the registry is not valid JSON: {path}")
     if states[0].missing:
         raise RegistryError(f'the registry must contain a "deprecations" array: {path}')
-    return found.select(F.posexplode("entries").alias("entry_ord", "entry"))
+    entries = found.select(F.posexplode("entries").alias("entry_ord", "entry"))
+    return entries.withColumn("entry_ord", F.col("entry_ord").cast("bigint"))
 
 
 def pinned(registry: DataFrame, max_rows: int = 50_000) -> DataFrame:
@@ -162,7 +163,7 @@ def registry_from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     import json
 
     texts = spark.createDataFrame(
-        [(n, json.dumps(row)) for n, row in enumerate(rows)], "entry_ord int, text string"
+        [(n, json.dumps(row)) for n, row in enumerate(rows)], "entry_ord bigint, text string"
     )
     return pinned(validate_entries(entries_of_json(texts, "text", "entry_ord")))
 
