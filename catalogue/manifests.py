@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.views import sql_text, table, with_ctes
+from catalogue.views import spread_table, sql_text, table, with_ctes
 from duskwatch import registry_from_rows
 from duskwatch.functions.versions import normalize_name, version_in_range, version_numbers
 from duskwatch.operators.audit import registry_audit
@@ -84,7 +84,9 @@ _DECLARED = (
 
 
 def version_range(spark, folder):
-    rows = table(spark, folder, "part").selectExpr("p_partkey", f"{_DECLARED} as declared")
+    rows = spread_table(spark, folder, "part", "p_partkey", "p_size").selectExpr(
+        "p_partkey", f"{_DECLARED} as declared"
+    )
     ranges = F.explode(F.array(*[F.lit(r) for r in RANGES])).alias("range")
     pairs = rows.select("p_partkey", "declared", ranges)
     first = F.get(version_numbers(F.col("declared")), F.lit(0)).cast("bigint")
@@ -187,7 +189,9 @@ _REQS = """concat('flask>=', c_nationkey, chr(10), '# no', chr(10), lower(c_mkts
 
 def _manifest_files(spark, folder):
     customers = table(spark, folder, "customer")
-    orders = table(spark, folder, "orders")
+    orders = spread_table(
+        spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"
+    )
     repo = "concat('c', c_custkey) as repo"
     root = customers.selectExpr(repo, "'package.json' as path", f"{_ROOT_JSON} as content")
     requirements = customers.selectExpr(repo, "'requirements.txt' as path", f"{_REQS} as content")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.sources.files import balance
+from duskwatch.session import shared_folder
+from duskwatch.sources.files import balance, read_corpus, write_corpus
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +20,20 @@ def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) ->
     return balance(table(spark, folder, name).select(*columns))
 
 
+_CORPORA: dict[tuple[str, str, str], str] = {}
+
+
+def stored_corpus(spark: SparkSession, folder: str, name: str, files: DataFrame) -> DataFrame:
+    """A corpus made from the tables, written once per session the way a fleet would store it:
+    partitioned by kind, with path and size as columns of their own."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _CORPORA:
+        path = f"{shared_folder(spark)}/corpus-{name}-{uuid.uuid4().hex}"
+        write_corpus(files, path)
+        _CORPORA[key] = path
+    return balance(read_corpus(spark, _CORPORA[key]))
+
+
 def with_ctes(*parts: str) -> str:
     """Join CTE texts into one statement; the last part ends in the final SELECT."""
     *ctes, final = [part.strip().rstrip(",") for part in parts]
@@ -196,7 +213,8 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
         "concat('s', l_suppkey) as repo", f"{_CODE_PATH} as path",
         f"{_CODE_TEXT} as content",
     )
-    return files.withColumn("size", F.octet_length("content").cast("bigint"))
+    sized = files.withColumn("size", F.octet_length("content").cast("bigint"))
+    return stored_corpus(spark, folder, "code", sized)
 
 
 CODE_FILES = f"""

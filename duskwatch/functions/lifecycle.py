@@ -26,24 +26,26 @@ def parse_day(text: Column) -> Column:
 
     A day of 29 to 31 in a shorter month rolls over into the next one.
     """
-    shape = r"^\d{4}(?:-\d{2}(?:-\d{2})?)?\z"
-    month = F.when(F.length(text) > 4, F.substring(text, 6, 2)).otherwise(F.lit("01"))
-    days = F.when(F.length(text) > 7, F.substring(text, 9, 2)).otherwise(F.lit("01"))
-    first = F.try_to_date(F.concat(F.substring(text, 1, 4), F.lit("-"), month, F.lit("-01")))
-    offset = days.try_cast("int") - 1
-    return F.when(text.rlike(shape) & offset.between(0, 30), F.date_add(first, offset))
+    full = F.length(text) > 7
+    first = F.when(full, F.concat(F.substring(text, 1, 7), F.lit("-01"))).otherwise(text)
+    offset = F.when(full, F.substring(text, 9, 2).try_cast("int") - 1).otherwise(0)
+    shaped = text.rlike(r"^\d{4}(?:-\d{2}(?:-\d{2})?)?\z") & offset.between(0, 30)
+    return F.when(shaped, F.date_add(first.try_cast("date"), offset))
 
 
 def days_until(sunset: Column, now) -> Column:
     return F.datediff(parse_day(sunset), day(now))
 
 
-def effective_status(status: Column, sunset: Column, now) -> Column:
-    days = days_until(sunset, now)
+def status_by_days(status: Column, days: Column) -> Column:
     derived = F.when(days.isNull(), "deprecated").when(days < 0, "retired").otherwise("scheduled")
     return F.coalesce(status, derived)
 
 
+def effective_status(status: Column, sunset: Column, now) -> Column:
+    return status_by_days(status, days_until(sunset, now))
+
+
 def within_days(value, default: int = DEFAULT_WITHIN_DAYS) -> int:
     """A whole number of days from 0 up, else the default window."""
     try:
@@ -53,20 +55,26 @@ def within_days(value, default: int = DEFAULT_WITHIN_DAYS) -> int:
     return days if days >= 0 else default
 
 
-def actionable(
-    severity: Column, status: Column, sunset: Column, now, within=None, fail_on_retired=False
+def actionable_by_days(
+    severity: Column, effective: Column, days: Column, within=None, fail_on_retired=False
 ) -> Column:
-    """Does a finding of this base severity and status fail the gate?"""
-    effective = effective_status(status, sunset, now)
-    days = days_until(sunset, now)
-    soon = days.between(0, within_days(within))
+    soon = F.coalesce(days.between(0, within_days(within)), F.lit(False))
     return (
         F.when(severity == "high", (effective != "retired") | F.lit(bool(fail_on_retired)))
-        .when(effective == "scheduled", F.coalesce(soon, F.lit(False)))
+        .when(effective == "scheduled", soon)
         .otherwise(False)
     )
 
 
+def actionable(
+    severity: Column, status: Column, sunset: Column, now, within=None, fail_on_retired=False
+) -> Column:
+    """Does a finding of this base severity and status fail the gate?"""
+    days = days_until(sunset, now)
+    effective = status_by_days(status, days)
+    return actionable_by_days(severity, effective, days, within, fail_on_retired)
+
+
 def severity_rank(severity: Column) -> Column:
     return F.when(severity == "high", 0).when(severity == "medium", 1).otherwise(2)
 

@@ -20,6 +20,7 @@ from duskwatch.fixed import (
     OPEN_MARK,
     SUPPRESS_TOKEN,
 )
+from duskwatch.functions.binding import let
 
 
 def _as_column(value) -> Column:
@@ -103,7 +104,8 @@ def suppressed_lines(raw: Column, token: str = SUPPRESS_TOKEN) -> Column:
     following = f"{JS_BOUNDARY}{re.escape(token)}-next-line{JS_BOUNDARY}"
 
     def target(line: Column, index: Column) -> Column:
-        return F.when(line.rlike(following), index + 2).when(line.rlike(same), index + 1)
+        named = F.when(line.rlike(following), index + 2).when(line.rlike(same), index + 1)
+        return F.when(F.contains(line, F.lit(token)), named)
 
     lines = F.transform(F.split(raw, "\n"), target)
     none = F.array().cast("array<int>")
@@ -173,5 +175,4 @@ def line_hits(
         walked = F.aggregate(pieces, start, step, lambda acc: acc["hits"])
         return F.when(F.contains(whole, F.lit(OPEN_MARK)), walked).otherwise(nothing)
 
-    # A one-element transform binds the fenced text to a name, so the regex runs once.
-    return F.element_at(F.transform(F.array(fenced), walk), 1)
+    return let(fenced, walk)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from duskwatch.fixed import MANIFEST_ECOSYSTEMS, VERSION_NUMBER, VERSION_RANGE
-from duskwatch.functions.paths import basename
+from duskwatch.functions.binding import let
 
 
 def normalize_name(name: Column) -> Column:
@@ -15,39 +15,45 @@ def normalize_name(name: Column) -> Column:
 
 
 def version_numbers(version: Column) -> Column:
-    """The first dotted number as ``array<decimal>``; null where there is none."""
-    run = F.regexp_extract(version, VERSION_NUMBER, 1)
-    parts = F.transform(F.split(run, r"\."), lambda n: n.try_cast("decimal(38,0)"))
-    return F.when(run != "", parts)
+    """The first dotted number as ``array<double>``; null where there is none."""
+    return let(
+        F.regexp_extract(version, VERSION_NUMBER, 1),
+        lambda run: F.when(
+            run != "", F.transform(F.split(run, r"\."), lambda n: n.cast("double"))
+        ),
+    )
 
 
 def compare_versions(left: Column, right: Column) -> Column:
     """-1, 0 or 1; a missing element counts as 0."""
-    width = F.greatest(F.size(left), F.size(right))
 
-    def padded(numbers: Column) -> Column:
-        zeros = F.array_repeat(F.lit(0).cast("decimal(38,0)"), width - F.size(numbers))
-        return F.concat(numbers, zeros)
+    def padded(numbers: Column, other: Column) -> Column:
+        missing = F.greatest(F.size(other) - F.size(numbers), F.lit(0))
+        return F.concat(numbers, F.array_repeat(F.lit(0.0), missing))
 
-    a, b = padded(left), padded(right)
-    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+    both = F.struct(padded(left, right).alias("a"), padded(right, left).alias("b"))
+    return let(both, lambda p: F.when(p["a"] < p["b"], -1).when(p["a"] > p["b"], 1).otherwise(0))
 
 
 def version_in_range(declared: Column, range_: Column) -> Column:
     """No range or an unreadable one holds; a version without digits never does."""
     operator = F.regexp_extract(range_, VERSION_RANGE, 1)
-    target = version_numbers(F.regexp_extract(range_, VERSION_RANGE, 2))
-    have = version_numbers(declared)
-    order = compare_versions(have, target)
-    holds = (
-        F.when(operator == "<", order < 0)
-        .when(operator == "<=", order <= 0)
-        .when(operator == ">", order > 0)
-        .when(operator == ">=", order >= 0)
-        .otherwise(order == 0)
+    wanted = (
+        F.when(operator == "<", F.array(F.lit(-1)))
+        .when(operator == "<=", F.array(F.lit(-1), F.lit(0)))
+        .when(operator == ">", F.array(F.lit(1)))
+        .when(operator == ">=", F.array(F.lit(0), F.lit(1)))
+        .otherwise(F.array(F.lit(0)))
     )
+    target = version_numbers(F.regexp_extract(range_, VERSION_RANGE, 2))
+    sides = F.struct(version_numbers(declared).alias("have"), target.alias("target"))
+    order = let(sides, lambda v: compare_versions(v["have"], v["target"]))
+    readable = declared.rlike(r"\d")
     open_range = range_.isNull() | (range_ == "") | ~range_.rlike(VERSION_RANGE)
-    return F.when(open_range, True).when(have.isNull(), False).otherwise(holds)
+    return (
+        F.when(open_range, True).when(~F.coalesce(readable, F.lit(False)), False)
+        .otherwise(F.array_contains(wanted, order))
+    )
 
 
 def manifest_compatible(manifest: Column, applies_to: Column) -> Column:
@@ -58,9 +64,3 @@ def manifest_compatible(manifest: Column, applies_to: Column) -> Column:
         overlap = F.arrays_overlap(applies_to, F.array(*[F.lit(e) for e in exts]))
         fits = F.when(base == name, overlap).otherwise(fits)
     return F.array_contains(applies_to, "*") | fits
-
-
-__all__ = [
-    "basename", "compare_versions", "manifest_compatible", "normalize_name",
-    "version_in_range", "version_numbers",
-]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.functions.lifecycle import days_until, parse_day
+from duskwatch.functions.lifecycle import day, days_until, parse_day
 from duskwatch.functions.versions import manifest_compatible, normalize_name
 from duskwatch.operators.dependencies import registry_packages
 from duskwatch.plans.joins import salted_join
@@ -50,8 +50,8 @@ def notifications(
 def sunset_calendar(findings: DataFrame, now) -> DataFrame:
     """Upcoming dates across the fleet: repositories and entries touched per day."""
     sunset = F.col("sunset_date")
-    upcoming = findings.filter(days_until(sunset, now) >= 0)
-    pairs = upcoming.select(parse_day(sunset).alias("sunset_day"), "repo", "id").distinct()
+    dated = findings.select(parse_day(sunset).alias("sunset_day"), "repo", "id")
+    pairs = dated.filter(F.col("sunset_day") >= day(now)).distinct()
     by_repo = pairs.groupBy("sunset_day", "repo").agg(F.count(F.lit(1)).alias("n"))
     repos = by_repo.groupBy("sunset_day").agg(
         F.count(F.lit(1)).alias("repos"), F.sum("n").alias("findings")
@@ -60,7 +60,7 @@ def sunset_calendar(findings: DataFrame, now) -> DataFrame:
         F.count(F.lit(1)).alias("entries")
     )
     return repos.join(entries, "sunset_day").withColumn(
-        "days_left", days_until(F.col("sunset_day").cast("string"), now)
+        "days_left", F.datediff("sunset_day", day(now))
     )
 
 

@@ -27,7 +27,7 @@ def read_checkouts(spark: SparkSession, root: str, max_bytes: int | None = None)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if max_bytes is not None:
         found = found.filter(F.col("length") <= max_bytes)
-    base = F.lit(root.rstrip("/").split("://")[-1].split(":", 1)[-1] + "/")
+    base = root.rstrip("/").split("://")[-1].split(":", 1)[-1] + "/"
     below = F.regexp_replace(F.substring_index(F.col("path"), base, -1), "^/+", "")
     repo = F.substring_index(below, "/", 1)
     return found.select(

@@ -6,6 +6,7 @@ import datetime as dt
 import pathlib
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,17 +126,17 @@ def entries_of_json(df: DataFrame, text: str, order: str) -> DataFrame:
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """One registry document: an object with ``deprecations``, or a bare array of entries."""
-    document = spark.read.text(path, wholetext=True).select(
-        F.try_parse_json("value").alias("doc")
-    )
     entries = F.coalesce(
         F.try_variant_get("doc", "$", "array<variant>"),
         F.try_variant_get("doc", "$.deprecations", "array<variant>"),
     )
-    found = document.select(F.col("doc").isNull().alias("broken"), entries.alias("entries"))
     try:
+        document = spark.read.text(path, wholetext=True).select(
+            F.try_parse_json("value").alias("doc")
+        )
+        found = document.select(F.col("doc").isNull().alias("broken"), entries.alias("entries"))
         states = found.select("broken", F.col("entries").isNull().alias("missing")).take(1)
-    except Exception as error:
+    except PySparkException as error:
         raise RegistryError(f"could not read the registry at {path}") from error
     if not states or states[0].broken:
         raise RegistryError(f"the registry is not valid JSON: {path}")
