@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import stat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.fixed import (
     DEFAULT_IGNORE_GLOBS,
     IGNORE_FILE,
+    MANIFEST_ECOSYSTEMS,
     MAX_FILE_BYTES,
     SOURCE_EXTENSIONS,
     WORKFLOW_DIR,
@@ -18,24 +23,69 @@ from duskwatch.plans.joins import fits_broadcast, salted_join
 # --- SRC-4: reading --------------------------------------------------------------------
 
 
-def read_checkouts(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
-    """Checkouts below ``root``, one folder per repository.
+_LISTED = "repo string, path string, size bigint"
+_READ_CHUNK = 32 * 1024 * 1024
+
+
+def _walk(batches):
+    """Regular files below each repository folder; links are not followed."""
+    for batch in batches:
+        for repo, top in zip(batch["repo"], batch["top"]):
+            rows = []
+            for folder, _, names in os.walk(top, onerror=None, followlinks=False):
+                for name in names:
+                    full = os.path.join(folder, name)
+                    try:
+                        found = os.lstat(full)
+                    except OSError:
+                        continue
+                    if stat.S_ISREG(found.st_mode):
+                        rows.append((repo, os.path.relpath(full, top), found.st_size))
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=["repo", "path", "size"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["repo", "path", "size"])
+
+
+def _reader(root: str):
+    def read(batches):
+        for batch in batches:
+            rows, held = [], 0
+            for repo, path, size in zip(batch["repo"], batch["path"], batch["size"]):
+                try:
+                    with open(os.path.join(root, repo, path), "rb") as file:
+                        text = file.read().decode("utf-8", "replace")
+                except OSError:
+                    continue
+                rows.append((repo, path, text, size))
+                held += size
+                if held >= _READ_CHUNK:
+                    yield pd.DataFrame(rows, columns=["repo", "path", "content", "size"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["repo", "path", "content", "size"])
+
+    return read
+
+
+def read_checkouts(
+    spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES, partitions: int | None = None
+) -> DataFrame:
+    """Checkouts below ``root``, one folder per repository, on a file system all executors mount.
 
-    ``max_bytes`` filters on the file length, so larger files are listed but never opened.
+    Spark's own file sources skip every name that starts with a dot or an underscore, so neither
+    ``__init__.py`` nor ``.git/config`` would be seen. Here folders are listed in parallel, one
+    repository per row; the files found are spread evenly, then read. Files above ``max_bytes``
+    are listed but not opened, manifests excepted; unreadable ones are left out.
     """
-    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    if max_bytes is not None:
-        found = found.filter(F.col("length") <= max_bytes)
-    base = root.rstrip("/").split("://")[-1].split(":", 1)[-1] + "/"
-    below = F.regexp_replace(F.substring_index(F.col("path"), base, -1), "^/+", "")
-    repo = F.substring_index(below, "/", 1)
-    return found.select(
-        repo.alias("repo"),
-        F.substring(below, F.length(repo) + 2, 1 << 30).alias("path"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-        F.col("length").alias("size"),
-    )
+    if "://" in root:
+        raise ValueError("store the corpus as a table (see write_corpus) to scan it from an object store")
+    repos = [(e.name, e.path) for e in os.scandir(root) if e.is_dir(follow_symlinks=False)]
+    count = partitions or max(spark.sparkContext.defaultParallelism, len(repos) // 64)
+    tops = spark.createDataFrame(repos, "repo string, top string").repartition(count, "repo")
+    listed = tops.mapInPandas(_walk, _LISTED)
+    manifest = paths.basename(F.col("path")).isin(*MANIFEST_ECOSYSTEMS)
+    wanted = listed.filter((F.col("size") <= max_bytes) | manifest).repartition(count, "repo", "path")
+    return wanted.mapInPandas(_reader(root), "repo string, path string, content string, size bigint")
 
 
 def balance(files: DataFrame) -> DataFrame:
@@ -51,7 +101,7 @@ def file_kind(path: Column) -> Column:
     """What a path is to us: lets the side branches of a scan read their own partition only."""
     base = paths.basename(path)
     return (
-        F.when(base.isin("package.json", "requirements.txt", "go.mod"), "manifest")
+        F.when(base.isin(*MANIFEST_ECOSYSTEMS), "manifest")
         .when(path == IGNORE_FILE, "ignore")
         .when(path == ".git/config", "git")
         .when(F.startswith(path, F.lit(WORKFLOW_DIR + "/")), "workflow")
