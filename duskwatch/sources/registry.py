@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import pathlib
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,11 +163,10 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 def registry_from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """A registry written in Python, validated like any other."""
-    import json
-
-    texts = spark.createDataFrame(
-        [(n, json.dumps(row)) for n, row in enumerate(rows)], "entry_ord bigint, text string"
-    )
+    texts = spark.createDataFrame(pa.table({
+        "entry_ord": pa.array(range(len(rows)), pa.int64()),
+        "text": pa.array([json.dumps(row) for row in rows], pa.string()),
+    }))
     return pinned(validate_entries(entries_of_json(texts, "text", "entry_ord")))
 
 

@@ -14,7 +14,7 @@ def spark():
     session = build_session(
         "tests", "local[4]",
         **{
-            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+            "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="duskwatch-tests-"),
         },
