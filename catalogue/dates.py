@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.views import table, with_ctes
+from catalogue.views import spread_table, table, with_ctes
 from duskwatch.functions import lifecycle, phrases
 from duskwatch.operators.findings import effective_severity, rank_findings, with_urgency
 from duskwatch.operators.inventory import sunset_calendar, sunset_rollup
@@ -23,7 +23,10 @@ def _facts(spark, folder):
     sunset = _SUNSET.format(
         day="date_format(o_orderdate, 'yyyy-MM-dd')", month="date_format(o_orderdate, 'yyyy-MM')"
     )
-    return table(spark, folder, "orders").selectExpr(
+    columns = (
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
+    )
+    return spread_table(spark, folder, "orders", *columns).selectExpr(
         "o_orderkey", "concat('c', o_custkey) as repo", f"{_SEVERITY} as severity",
         f"{_STATUS} as status", f"nullif({sunset}, '') as sunset_date",
         "o_orderstatus = 'F' as test_only", "o_orderpriority = '3-MEDIUM' as mention_only",

@@ -97,9 +97,7 @@ def ignore_line_globs(line: Column) -> Column:
 def ignore_file_regex(content: Column) -> Column:
     """A whole ignore file as one regex, null when no line of it names a glob."""
     globs = F.flatten(F.transform(F.split(content, r"\r?\n"), ignore_line_globs))
-    return F.when(
-        F.size(globs) > 0, F.array_join(F.transform(globs, lambda g: glob_regex(g)), "|")
-    )
+    return F.nullif(F.array_join(F.transform(globs, lambda g: glob_regex(g)), "|"), F.lit(""))
 
 
 def matches_any_glob(path: Column, globs) -> Column:
