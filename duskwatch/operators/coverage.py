@@ -39,18 +39,19 @@ def coverage_audit(
         (path == standard).alias("ours"),
         F.when(runs_scan, path).alias("workflow"),
         F.when(path == ".git/config", github_remote(content)).alias("remote"),
+        F.lit(False).alias("listed"),
     )
     blank = repos.select("repo").withColumns({
         "git": F.lit(False), "host": F.lit(None).cast("string"), "github": F.lit(False),
         "ours": F.lit(False), "workflow": F.lit(None).cast("string"),
-        "remote": F.lit(None).cast("struct<owner:string,repo:string>"),
+        "remote": F.lit(None).cast("struct<owner:string,repo:string>"), "listed": F.lit(True),
     })
-    totals = flags.join(repos.select("repo"), "repo", "left_semi").unionByName(blank)
-    per_repo = totals.groupBy("repo").agg(
+    per_repo = flags.unionByName(blank).groupBy("repo").agg(
         F.bool_or("git").alias("git"), F.min("host").alias("host"),
         F.bool_or("github").alias("github"), F.bool_or("ours").alias("ours"),
         F.min("workflow").alias("workflow"), F.min("remote").alias("remote"),
-    )
+        F.bool_or("listed").alias("listed"),
+    ).filter("listed")
     foreign = F.col("host").isNotNull() & ~F.col("github")
     found = F.when(F.col("ours"), standard).otherwise(F.col("workflow"))
     outcome = (
