@@ -52,16 +52,11 @@ def sunset_calendar(findings: DataFrame, now) -> DataFrame:
     sunset = F.col("sunset_date")
     dated = findings.select(parse_day(sunset).alias("sunset_day"), "repo", "id")
     pairs = dated.filter(F.col("sunset_day") >= day(now)).distinct()
-    by_repo = pairs.groupBy("sunset_day", "repo").agg(F.count(F.lit(1)).alias("n"))
-    repos = by_repo.groupBy("sunset_day").agg(
-        F.count(F.lit(1)).alias("repos"), F.sum("n").alias("findings")
-    )
-    entries = pairs.select("sunset_day", "id").distinct().groupBy("sunset_day").agg(
-        F.count(F.lit(1)).alias("entries")
-    )
-    return repos.join(entries, "sunset_day").withColumn(
-        "days_left", F.datediff("sunset_day", day(now))
+    per_day = pairs.groupBy("sunset_day").agg(
+        F.count_distinct("repo").alias("repos"), F.count(F.lit(1)).alias("findings"),
+        F.count_distinct("id").alias("entries"),
     )
+    return per_day.withColumn("days_left", F.datediff("sunset_day", day(now)))
 
 
 def sunset_rollup(findings: DataFrame, now) -> DataFrame:
