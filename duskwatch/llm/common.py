@@ -72,3 +72,34 @@ def windows(hashes, width: int):
     for i in range(width):
         total = total * np.uint64(0x9E3779B97F4A7C15) + mixed(hashes[i : i + n] + np.uint64(i))
     return mixed(total)
+
+
+def arrow_map(df: DataFrame, text: str, keep: list[str], schema: str, make) -> DataFrame:
+    """Apply ``make(list of texts) -> list of arrow arrays`` to Arrow batches of ``text``.
+
+    The columns ``keep`` pass through unchanged; ``schema`` names all columns of the result. Nulls
+    in ``text`` arrive as None.
+    """
+    import pyarrow as pa
+
+    names = [f.strip().split(" ", 1)[0] for f in _fields(schema)]
+
+    def run(batches):
+        for batch in batches:
+            made = make(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            kept = [batch.column(batch.schema.get_field_index(k)) for k in keep]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _fields(schema: str) -> list[str]:
+    """The fields of a DDL string, commas inside angle brackets left alone."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.llm.common import table
+from duskwatch.llm.packing import pack_documents
+from duskwatch.llm.personal import find_personal_data
+from duskwatch.llm.quality import judge_quality
 from duskwatch.llm.secrets import scan_secrets
 from duskwatch.llm.sharding import grow, hash_tree_shards, layout
 
@@ -17,13 +20,29 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(docs, repo, F.col("source"))
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The host of a document is its source."""
+    return judge_quality(table(spark, folder, "documents")).drop("row_key", "gone")
+
+
 def op5_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     tree = layout(40)
     return hash_tree_shards(table(spark, folder, "documents"), tree, grow(tree))
 
 
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"))
+
+
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(table(spark, folder, "documents"))
+
+
 #: Name, query, SQL for DuckDB (None where SQL cannot express it; then a test holds the query against brute force).
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, None),
+    "op2_quality_rules": (op2_quality_rules, None),
     "op5_hash_tree_shards": (op5_hash_tree_shards, None),
+    "op8_best_fit_packing": (op8_best_fit_packing, None),
+    "op10_personal_data": (op10_personal_data, None),
 }
