@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.llm.common import table
+from duskwatch.llm.jaccard import near_duplicates
 from duskwatch.llm.packing import pack_documents
+from duskwatch.llm.pages import extract_main_text
 from duskwatch.llm.personal import find_personal_data
 from duskwatch.llm.quality import judge_quality
 from duskwatch.llm.secrets import scan_secrets
@@ -25,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_quality(table(spark, folder, "documents")).drop("row_key", "gone")
 
 
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages"))
+
+
 def op5_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     tree = layout(40)
     return hash_tree_shards(table(spark, folder, "documents"), tree, grow(tree))
@@ -34,6 +40,10 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return find_personal_data(table(spark, folder, "documents"))
 
@@ -42,7 +52,9 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, None),
     "op2_quality_rules": (op2_quality_rules, None),
+    "op4_main_text": (op4_main_text, None),
     "op5_hash_tree_shards": (op5_hash_tree_shards, None),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
+    "op9_ngram_jaccard": (op9_ngram_jaccard, None),
     "op10_personal_data": (op10_personal_data, None),
 }
