@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.llm.common import table
 from duskwatch.llm.jaccard import near_duplicates
+from duskwatch.llm.lines import count_later_lines
 from duskwatch.llm.packing import pack_documents
 from duskwatch.llm.pages import extract_main_text
 from duskwatch.llm.personal import find_personal_data
@@ -36,6 +37,10 @@ def op5_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hash_tree_shards(table(spark, folder, "documents"), tree, grow(tree))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return count_later_lines(table(spark, folder, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op2_quality_rules": (op2_quality_rules, None),
     "op4_main_text": (op4_main_text, None),
     "op5_hash_tree_shards": (op5_hash_tree_shards, None),
+    "op7_line_dedup": (op7_line_dedup, None),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_ngram_jaccard": (op9_ngram_jaccard, None),
     "op10_personal_data": (op10_personal_data, None),
