@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.llm.common import table
+from duskwatch.llm.decontamination import contaminated
 from duskwatch.llm.jaccard import near_duplicates
 from duskwatch.llm.lines import count_later_lines
 from duskwatch.llm.packing import pack_documents
 from duskwatch.llm.pages import extract_main_text
+from duskwatch.llm.passages import repeated_passages
 from duskwatch.llm.personal import find_personal_data
 from duskwatch.llm.quality import judge_quality
 from duskwatch.llm.secrets import scan_secrets
@@ -28,6 +30,10 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_quality(table(spark, folder, "documents")).drop("row_key", "gone")
 
 
+def op3_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(table(spark, folder, "documents"))
+
+
 def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(table(spark, folder, "pages"))
 
@@ -37,6 +43,10 @@ def op5_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hash_tree_shards(table(spark, folder, "documents"), tree, grow(tree))
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return count_later_lines(table(spark, folder, "documents"))
 
@@ -57,8 +67,10 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, None),
     "op2_quality_rules": (op2_quality_rules, None),
+    "op3_repeated_passages": (op3_repeated_passages, None),
     "op4_main_text": (op4_main_text, None),
     "op5_hash_tree_shards": (op5_hash_tree_shards, None),
+    "op6_decontamination": (op6_decontamination, None),
     "op7_line_dedup": (op7_line_dedup, None),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_ngram_jaccard": (op9_ngram_jaccard, None),
