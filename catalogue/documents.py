@@ -26,24 +26,24 @@ from duskwatch.operators.usage import match_usage
 from duskwatch.sources.files import select_sources
 
 
-def _hits(spark, folder, cap=50, **options):
+def _hits(spark, folder, cap=None, **options):
     rules = compile_rules(document_registry(spark))
     return match_usage(document_files(spark, folder), rules, cap=cap, token=None, **options)
 
 
 def match_lines(spark, folder):
-    return _hits(spark, folder, cap=None).select("repo", "id", "file", "regex_ord", "line", "text")
+    return _hits(spark, folder).select("repo", "id", "file", "regex_ord", "line", "text")
 
 
 def line_cap(spark, folder):
-    return _hits(spark, folder).select("repo", "id", "file", "regex_ord", "line", "text")
+    return _hits(spark, folder, cap=50).select("repo", "id", "file", "regex_ord", "line", "text")
 
 
 SENTENCE_END = r"\.\n[A-Z]"
 
 
 def match_multiline(spark, folder):
-    found = line_hits(safe_text(F.col("text")), SENTENCE_END, cap=None)
+    found = line_hits(safe_text(F.col("text")), SENTENCE_END)
     return spread_table(spark, folder, "documents", "doc_id", "text").select("doc_id", F.inline(found))
 
 
@@ -165,9 +165,8 @@ page_found AS (SELECT l.file, l.line, l.line_text, r.*, len(r.sdk) = 0 OR g.id I
   FROM page_lines l JOIN page_rules r ON regexp_matches(l.line_text, r.regex)
   LEFT JOIN page_gates g ON g.file = l.file AND g.id = r.id),
 page_hits AS (SELECT id, file, kind, CAST(regex_ord AS INTEGER) AS regex_ord, CAST(line AS INTEGER) AS line,
-  substring(trim(regexp_replace(regexp_extract(line_text, regex), '\\s+', ' ', 'g')), 1, 120) AS text,
-  NOT opened AS mention FROM page_found WHERE opened OR kind = 'model'
-  QUALIFY row_number() OVER (PARTITION BY file, id, regex_ord ORDER BY line) <= 50)
+  trim(regexp_replace(regexp_extract(line_text, regex), '\\s+', ' ', 'g')) AS text,
+  NOT opened AS mention FROM page_found WHERE opened OR kind = 'model')
 """
 
 
@@ -204,17 +203,17 @@ _HIT_SELECT = "SELECT repo, id, file, regex_ord, line, text FROM "
 
 QUERIES = {
     "match_lines": (match_lines, with_ctes(*DOCS, _HIT_SELECT + "doc_hits")),
-    "line_cap": (line_cap, with_ctes(*DOCS, _HIT_SELECT + "doc_capped")),
+    "line_cap": (line_cap, with_ctes(*DOCS, _HIT_SELECT + """doc_hits
+  QUALIFY row_number() OVER (PARTITION BY file, id, regex_ord ORDER BY line) <= 50""")),
     "match_multiline": (match_multiline, _MULTILINE_SQL),
     "suppressed_lines": (
         suppressed_lines,
-        with_ctes(*DOCS, _SUPPRESSED_SQL, _HIT_SELECT + """kept
-  QUALIFY row_number() OVER (PARTITION BY file, id, regex_ord ORDER BY line) <= 50"""),
+        with_ctes(*DOCS, _SUPPRESSED_SQL, _HIT_SELECT + "kept"),
     ),
     "language_scope": (
         language_scope,
         with_ctes(*DOCS, """SELECT regexp_extract(file, '\\.([^.]*)$', 1) AS ext, id,
-  count(DISTINCT file) AS files, count(*) AS hits FROM doc_capped GROUP BY ALL"""),
+  count(DISTINCT file) AS files, count(*) AS hits FROM doc_hits GROUP BY ALL"""),
     ),
     "size_cap": (size_cap, with_ctes(DOC_FILES, "SELECT repo, path, size FROM doc_files WHERE size <= 4096")),
     "comment_strip_html": (
@@ -253,7 +252,7 @@ QUERIES = {
     "top_evidence": (
         top_locations,
         with_ctes(*DOCS, """
-distinct_hits AS (SELECT DISTINCT repo, id, file, line, text FROM doc_capped),
+distinct_hits AS (SELECT DISTINCT repo, id, file, line, text FROM doc_hits),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY repo, id ORDER BY file, line, text) AS evidence_rank,
   count(*) OVER (PARTITION BY repo, id) AS n FROM distinct_hits)""",
                   """SELECT repo, id, file, line, text, evidence_rank, greatest(n - 12, 0) AS n_more

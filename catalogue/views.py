@@ -115,11 +115,9 @@ doc_lines AS (SELECT repo, path, ext, unnest(string_split(content, chr(10))) AS
   generate_subscripts(string_split(content, chr(10)), 1) AS line FROM doc_files),
 doc_hits AS (SELECT repo, id, path AS file, CAST(regex_ord AS INTEGER) AS regex_ord,
   CAST(line AS INTEGER) AS line,
-  substring(trim(regexp_replace(regexp_extract(line_text, regex), '\\s+', ' ', 'g')), 1, 120) AS text
+  trim(regexp_replace(regexp_extract(line_text, regex), '\\s+', ' ', 'g')) AS text
   FROM doc_lines JOIN doc_rules ON list_contains(applies_to, '*') OR list_contains(applies_to, ext)
-  WHERE regexp_matches(line_text, regex)),
-doc_capped AS (SELECT * FROM doc_hits
-  QUALIFY row_number() OVER (PARTITION BY file, id, regex_ord ORDER BY line) <= 50)
+  WHERE regexp_matches(line_text, regex))
 """
 
 # A path in a test tree or with a test file's name.
@@ -131,7 +129,7 @@ SQL_IS_TEST = (
 DOC_FINDINGS = f"""
 doc_findings AS (SELECT h.repo, h.id, r.severity, r.status, r.sunset_date, r.entry_ord,
   count(*) AS n_hits, bool_and({SQL_IS_TEST.format('file')}) AS test_only
-  FROM doc_capped h JOIN (SELECT DISTINCT id, severity, status, sunset_date, entry_ord
+  FROM doc_hits h JOIN (SELECT DISTINCT id, severity, status, sunset_date, entry_ord
     FROM doc_rules) r ON h.id = r.id GROUP BY ALL),
 doc_urgent AS (SELECT *, CASE WHEN test_only THEN 'low' ELSE severity END AS effective_severity,
   coalesce(status, CASE WHEN nullif(sunset_date, '') IS NULL THEN 'deprecated'
@@ -345,7 +343,7 @@ code_pairs AS (SELECT l.*, r.*, (len(r.sdk) = 0 OR l.ext NOT IN ('js', 'ts', 'py
   WHERE regexp_matches(l.line_text, r.regex)),
 code_hits AS (SELECT p.repo, p.id, p.path AS file, p.kind, CAST(p.regex_ord AS INTEGER) AS regex_ord,
   CAST(p.line AS INTEGER) AS line,
-  substring(trim(regexp_replace(regexp_extract(p.line_text, p.regex), '\s+', ' ', 'g')), 1, 120) AS text,
+  trim(regexp_replace(regexp_extract(p.line_text, p.regex), '\s+', ' ', 'g')) AS text,
   NOT p.opened AS mention
   FROM code_pairs p LEFT JOIN code_silent s ON s.repo = p.repo AND s.path = p.path AND s.line = p.line
   WHERE s.line IS NULL AND (p.opened OR p.kind = 'model'))

@@ -18,9 +18,7 @@ TEST_BASENAME = r"^conftest\.py$|^test_.*\.py$|_test\.py$|\.(test|spec)\.(c|m)?[
 SUPPRESS_TOKEN = "dusk-ignore"
 
 # --- Limits ---------------------------------------------------------------------
-MAX_FILE_BYTES = 2 * 1024 * 1024
-MAX_RECORDS_PER_REGEX_PER_FILE = 50
-MAX_TEXT_CHARS = 120
+CITED_CHARS = 120  # of a matched text, in the printed report only
 REPORT_EVIDENCE_LINES = 12
 DEFAULT_WITHIN_DAYS = 30
 SNAPSHOT_TTL_SECONDS = 24 * 60 * 60

@@ -15,8 +15,6 @@ from duskwatch.fixed import (
     JS_BOUNDARY,
     JS_EXTENSIONS,
     JS_SPACE,
-    MAX_RECORDS_PER_REGEX_PER_FILE,
-    MAX_TEXT_CHARS,
     OPEN_MARK,
     SUPPRESS_TOKEN,
 )
@@ -126,53 +124,45 @@ def safe_text(text: Column) -> Column:
 
 
 def cite(match: Column) -> Column:
-    """The matched text as evidence shows it: one line, no outer blanks, 120 characters."""
-    one_line = F.trim(F.regexp_replace(match, f"[{JS_SPACE}]+", " "))
-    return F.substring(one_line, 1, MAX_TEXT_CHARS)
+    """The matched text as evidence keeps it: one line, no outer blanks, whole."""
+    return F.trim(F.regexp_replace(match, f"[{JS_SPACE}]+", " "))
 
 
-def _newlines(text: Column) -> Column:
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+def _marks(text: Column) -> Column:
+    """How many matches begin in a fenced text."""
+    without = F.replace(text, F.lit(OPEN_MARK), F.lit(""))
+    return ((F.octet_length(text) - F.octet_length(without)) / len(OPEN_MARK.encode())).cast("int")
 
 
 HIT = "array<struct<line:int,text:string>>"
 
 
-def line_hits(
-    text: Column,
-    regex,
-    ignored: Column | None = None,
-    cap: int | None = MAX_RECORDS_PER_REGEX_PER_FILE,
-) -> Column:
+def line_hits(text: Column, regex, ignored: Column | None = None, cap: int | None = None) -> Column:
     """``array<struct<line, text>>``: the first match of ``regex`` on each line of ``text``.
 
-    One pass of the regex fences every match with marks; the pieces between the marks are then
-    walked once, carrying the line number. Matches may span lines and may be empty. Lines in
-    ``ignored`` record nothing; at most ``cap`` lines are recorded.
+    One pass of the regex fences every match with marks; the lines of the fenced text then tell where
+    matches begin, and one more pass reads them off in the same order. Matches may span lines and may
+    be empty. Lines in ``ignored`` record nothing; ``cap``, if given, is how many lines are recorded. The
+    cost grows with the text and its matches, never with their square.
     """
     fenced = F.regexp_replace(text, _as_column(regex), F.lit(f"{OPEN_MARK}$0{CLOSE_MARK}"))
-    nothing = F.array().cast(HIT)
-    start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("seen"), nothing.alias("hits"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        line, seen, hits = acc["line"], acc["seen"], acc["hits"]
-        wanted = F.contains(piece, F.lit(CLOSE_MARK)) & (line != seen)
-        if ignored is not None:
-            wanted = wanted & ~F.array_contains(ignored, line)
+
+    def collect(whole: Column, starts: Column) -> Column:
+        texts = F.regexp_extract_all(whole, F.lit(f"{OPEN_MARK}([^{CLOSE_MARK}]*){CLOSE_MARK}"), F.lit(1))
+        found = F.arrays_zip(starts.alias("line"), texts.alias("text"))
+
+        def first_on_line(hit: Column, index: Column) -> Column:
+            wanted = (index == 0) | (F.get(starts, index - 1) != hit["line"])
+            return wanted if ignored is None else wanted & ~F.array_contains(ignored, hit["line"])
+
+        kept = F.filter(found, first_on_line)
         if cap is not None:
-            wanted = wanted & (F.size(hits) < cap)
-        found = F.struct(
-            line.alias("line"), cite(F.substring_index(piece, CLOSE_MARK, 1)).alias("text")
-        )
-        return F.struct(
-            (line + _newlines(piece)).alias("line"),
-            F.when(F.contains(piece, F.lit(CLOSE_MARK)), line).otherwise(seen).alias("seen"),
-            F.when(wanted, F.array_append(hits, found)).otherwise(hits).alias("hits"),
-        )
+            kept = F.slice(kept, 1, cap)
+        return F.transform(kept, lambda h: F.struct(h["line"].alias("line"), cite(h["text"]).alias("text")))
 
     def walk(whole: Column) -> Column:
-        pieces = F.split(whole, OPEN_MARK)
-        walked = F.aggregate(pieces, start, step, lambda acc: acc["hits"])
-        return F.when(F.contains(whole, F.lit(OPEN_MARK)), walked).otherwise(nothing)
+        starts = F.flatten(F.transform(F.split(whole, "\n"), lambda line, i: F.array_repeat(i + 1, _marks(line))))
+        found = let(starts, lambda lines: collect(whole, lines))
+        return F.when(F.contains(whole, F.lit(OPEN_MARK)), found).otherwise(F.array().cast(HIT))
 
     return let(fenced, walk)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.fixed import MAX_RECORDS_PER_REGEX_PER_FILE, SUPPRESS_TOKEN
+from duskwatch.fixed import SUPPRESS_TOKEN
 from duskwatch.functions.imports import gate_open, imports_of, is_gateable
 from duskwatch.functions.paths import extension
 from duskwatch.functions.text import (
@@ -53,14 +53,13 @@ def prepare_sources(
     return text.withColumns({"imports": imports, "gateable": gateable})
 
 
-def match_prepared(
-    prepared: DataFrame, rules: RuleSet, cap: int | None = MAX_RECORDS_PER_REGEX_PER_FILE
-) -> DataFrame:
+def match_prepared(prepared: DataFrame, rules: RuleSet, cap: int | None = None) -> DataFrame:
     """``hits(repo, id, file, kind, regex_ord, line, text, mention)``.
 
     A broadcast hash join on the language scope meets files with rules; a substring test inside
     the join drops pairs that cannot match before any regex runs. Texts are never shuffled. A
-    closed import gate stops an entry's patterns and turns its model ids into mentions.
+    closed import gate stops an entry's patterns and turns its model ids into mentions. Every line
+    counts; ``cap`` limits the lines recorded per regex and file for those who want that.
     """
 
     def run(pack: DataFrame) -> DataFrame:
@@ -80,5 +79,5 @@ def match_prepared(
 
 def match_usage(sources: DataFrame, rules: RuleSet, **options) -> DataFrame:
     """Hits of ``rules`` in ``sources(repo, path, content)``."""
-    cap = options.pop("cap", MAX_RECORDS_PER_REGEX_PER_FILE)
+    cap = options.pop("cap", None)
     return match_prepared(prepare_sources(sources, rules, **options), rules, cap)
