@@ -13,7 +13,6 @@ from duskwatch.fixed import (
     DEFAULT_IGNORE_GLOBS,
     IGNORE_FILE,
     MANIFEST_ECOSYSTEMS,
-    MAX_FILE_BYTES,
     SOURCE_EXTENSIONS,
     WORKFLOW_DIR,
 )
@@ -68,13 +67,13 @@ def _reader(root: str):
 
 
 def read_checkouts(
-    spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES, partitions: int | None = None
+    spark: SparkSession, root: str, max_bytes: int | None = None, partitions: int | None = None
 ) -> DataFrame:
     """Checkouts below ``root``, one folder per repository, on a file system all executors mount.
 
     Spark's own file sources skip every name that starts with a dot or an underscore, so neither
     ``__init__.py`` nor ``.git/config`` would be seen. Here folders are listed in parallel, one
-    repository per row; the files found are spread evenly, then read. Files above ``max_bytes``
+    repository per row; the files found are spread evenly, then read. With ``max_bytes``, larger files
     are listed but not opened, manifests excepted; unreadable ones are left out.
     """
     if "://" in root:
@@ -84,8 +83,8 @@ def read_checkouts(
     tops = spark.createDataFrame(repos, "repo string, top string").repartition(count, "repo")
     listed = tops.mapInPandas(_walk, _LISTED)
     manifest = paths.basename(F.col("path")).isin(*MANIFEST_ECOSYSTEMS)
-    wanted = listed.filter((F.col("size") <= max_bytes) | manifest).repartition(count, "repo", "path")
-    return wanted.mapInPandas(_reader(root), "repo string, path string, content string, size bigint")
+    wanted = listed if max_bytes is None else listed.filter((F.col("size") <= max_bytes) | manifest)
+    return wanted.repartition(count, "repo", "path").mapInPandas(_reader(root), "repo string, path string, content string, size bigint")
 
 
 def balance(files: DataFrame) -> DataFrame:
@@ -133,25 +132,27 @@ def select_sources(
     files: DataFrame,
     include_deps: bool = False,
     ignore: tuple[str, ...] = (),
-    registry_path: str | None = None,
+    registry_path: tuple[str, str] | None = None,
     extensions: tuple[str, ...] | None = SOURCE_EXTENSIONS,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Source files a user can fix: path and size only, so the filters reach the scan.
 
-    ``extensions=None`` accepts any extension; ``registry_path`` names a custom registry that lies
-    inside the tree and must not be scanned.
+    ``extensions=None`` accepts any extension; ``registry_path``, a pair (repo, path), names a custom
+    registry that lies inside one repository and must not be scanned. ``max_bytes`` leaves larger files out; by default none are.
     """
     path = F.col("path")
-    keep = F.col("size") <= max_bytes
+    keep = F.lit(True) if max_bytes is None else F.col("size") <= max_bytes
     if extensions is not None:
         keep = keep & paths.is_source(path, extensions)
     if not include_deps:
         keep = keep & ~paths.in_dependency_dir(path) & ~paths.is_hidden(path)
     keep = keep & ~paths.matches_any_glob(path, (*DEFAULT_IGNORE_GLOBS, *ignore))
     if registry_path:
-        keep = keep & (path != registry_path)
-    return (of_kind(files, "source") if extensions is not None else files).filter(keep)
+        keep = keep & ~((F.col("repo") == registry_path[0]) & (path == registry_path[1]))
+    # The partition of sources holds the usual extensions outside hidden folders, and nothing else.
+    covered = extensions is not None and set(extensions) <= set(SOURCE_EXTENSIONS) and not include_deps
+    return (of_kind(files, "source") if covered else files).filter(keep)
 
 
 # --- SRC-6, JOIN-6: each repository's own ignore file --------------------------------------

@@ -37,6 +37,30 @@ def test_globs(spark):
     assert {r.n: cases[r.n] for r in got if r.m != cases[r.n][2]} == {}
 
 
+def test_odd_globs_compile_and_mean_what_they_say(spark):
+    many = "{" + ",".join(f"n{i}" for i in range(200)) + "}"
+    cases = [
+        ("{src,{cfg,x}}/*.js", "cfg/a.js", True), ("{src,{cfg,x}}/*.js", "y/a.js", False), ("v{1..3}/a", "v2/a", True),
+        ("v{1..3}/a", "v4/a", False), ("@(a|b).js", "a.js", True), ("!(a).js", "a.js", False), ("!(a).js", "b.js", True),
+        ("+(ab).js", "abab.js", True), ("?(a)b", "b", True), ("*(a|b)c", "abac", True), ("lib/[z-a].js", "lib/[z-a].js", True),
+        ("lib/[z-a].js", "lib/b.js", False), ("a[b", "a[b", True), ("a{b,c", "a{b,c", True), (f"{many}/x", "n150/x", True),
+        ("@(a|b", "@(a|b", True), ("a)|b", "a)|b", True), ("x\\*y", "x*y", True), ("x\\*y", "xzy", False), ("[!]", "[!]", True),
+        ("a\\", "a\\", True), ("{a}", "{a}", True), ("{a,b}{c,d}", "bd", True), ("{src/**,x}", "src/a/b", True),
+    ]
+    df = spark.createDataFrame([(n, g, p) for n, (g, p, _) in enumerate(cases)], "n int, g string, p string")
+    got = df.select("n", F.rlike("p", paths.glob_regex(F.col("g"))).alias("m")).collect()
+    assert {r.n: cases[r.n] for r in got if r.m != cases[r.n][2]} == {}
+
+
+def test_any_line_of_an_ignore_file_compiles(spark, tree):
+    import random
+
+    rng = random.Random(7)
+    lines = ["".join(rng.choice("ab/*?[]{}()!@+|,.-^\\$~&1") for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    files = tree({f"r{n}": {".duskignore": line, "src/a.js": "x"} for n, line in enumerate(lines)})
+    assert drop_ignored(files, ignore_rules(files), small=True).count() > 0
+
+
 def test_ignore_lines(spark):
     cases = {
         "": [], "  # note": [], "!keep": [], "/": [], "build/": ["**/build/**"], "/build//": ["build/**"],
@@ -52,7 +76,7 @@ def test_excluded_directories(spark, tree):
     assert got == {"src/a.js", "distx/a.js"}
     every = {r.path for r in select_sources(tree(files), include_deps=True).collect()}
     assert {"node_modules/a.js", ".venv/a.js", "src/.hidden/b.js"} <= every
-    few = select_sources(tree(files), ignore=("src/**",), registry_path="distx/a.js")
+    few = select_sources(tree(files), ignore=("src/**",), registry_path=("r", "distx/a.js"))
     assert few.count() == 0
 
 
@@ -60,7 +84,8 @@ def test_size_cap_is_strictly_greater(spark, tree):
     df = tree({"a.js": "", "b.js": ""}).withColumn(
         "size", F.when(F.col("path") == "a.js", 2097152).otherwise(2097153).cast("long")
     )
-    assert [r.path for r in select_sources(df).collect()] == ["a.js"]
+    assert [r.path for r in select_sources(df, max_bytes=2097152).collect()] == ["a.js"]
+    assert select_sources(df).count() == 2
 
 
 def test_ignore_files_are_per_repository(spark, tree):
