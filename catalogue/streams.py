@@ -10,7 +10,7 @@ from catalogue.views import table
 from duskwatch.operators.inventory import latest_inventory
 from duskwatch.session import shared_folder
 from duskwatch.sinks.reports import read_table
-from duskwatch.streaming.monitor import drop_repeats, ingest_reports, notify_new_entries
+from duskwatch.streaming.monitor import drop_repeats, ingest_reports, keep_first, notify_new_entries
 
 
 def _fresh_root(spark) -> str:
@@ -83,6 +83,32 @@ SELECT DISTINCT concat('c', o_custkey) AS repo, concat('e', p_partkey) AS id
 FROM orders JOIN part ON p_partkey = o_custkey WHERE p_size >= 10"""
 
 
+def stream_two_sources(spark, folder):
+    """Two streams, each with its own checkpoint and batch numbers, into the same tables."""
+    root = _fresh_root(spark)
+    uploads = _stream(spark, folder, "orders")
+    for name, half in (("urgent", "o_orderpriority < '3'"), ("rest", "o_orderpriority >= '3' or o_orderpriority is null")):
+        part = uploads.filter(half).selectExpr(*_UPLOAD)
+        ingest_reports(part, root, f"{root}/checkpoint-{name}").awaitTermination()
+    newest = latest_inventory(read_table(spark, root, "inventory"), read_table(spark, root, "reports"))
+    return newest.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("packages"), F.date_format(F.max("reported_at"), "yyyy-MM-dd").alias("reported"),
+    )
+
+
+def stream_restart(spark, folder):
+    """The second delivery comes with a new checkpoint: what the first seeded is remembered."""
+    root = _fresh_root(spark)
+    _ingest(spark, folder, root)
+    entries = _entries(spark, folder)
+    source = f"{root}/entries"
+    for number, delivery in enumerate((entries.filter("p_size < 10"), entries)):
+        delivery.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(entries.schema).parquet(source)
+        notify_new_entries(stream, root, f"{root}/checkpoint-entries-{number}").awaitTermination()
+    return read_table(spark, root, "notifications").select("repo", "id")
+
+
 def stream_dedupe(spark, folder):
     root = _fresh_root(spark)
     first = drop_repeats(_stream(spark, folder, "events"), ["user_id", "event_type"], "ts")
@@ -95,8 +121,21 @@ def stream_dedupe(spark, folder):
     return spark.read.parquet(f"{root}/first")
 
 
+def stream_first_only(spark, folder):
+    """Events of each type arrive as a batch of their own, so repeats of a user are batches and days apart."""
+    root = _fresh_root(spark)
+    events = table(spark, folder, "events").select("user_id", "event_type", "ts")
+    events.repartition(6, "event_type").write.parquet(f"{root}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+    keep_first(stream, ["user_id"], root, "first", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/first").groupBy("user_id").agg(F.count(F.lit(1)).alias("times"))
+
+
 QUERIES = {
     "stream_ingest": (stream_ingest, _INGEST_SQL),
+    "stream_two_sources": (stream_two_sources, _INGEST_SQL),
     "stream_notify": (stream_notify, _NOTIFY_SQL),
+    "stream_restart": (stream_restart, _NOTIFY_SQL),
     "stream_dedupe": (stream_dedupe, "SELECT DISTINCT user_id, event_type FROM events"),
+    "stream_first_only": (stream_first_only, "SELECT user_id, CAST(1 AS BIGINT) AS times FROM events GROUP BY user_id"),
 }

@@ -1,17 +1,19 @@
-"""Scan reports as append-only tables, keyed by the batch that wrote them."""
+"""Scan reports as append-only tables, keyed by the stream and batch that wrote them."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPORTS = "repo string, report_id string, reported_at timestamp, version string, batch long"
+REPORTS = "repo string, report_id string, reported_at timestamp, version string, stream string, batch long"
 INVENTORY = (
     "repo string, report_id string, reported_at timestamp, manifest string, name string, "
-    "version string, batch long"
+    "version string, stream string, batch long"
 )
-SEEN = "id string, batch long"
-SENT = "repo string, id string, batch long"
+SEEN = "id string, stream string, batch long"
+SENT = "repo string, id string, stream string, batch long"
 SCHEMAS = {"reports": REPORTS, "inventory": INVENTORY, "seen": SEEN, "notifications": SENT}
 
 # One uploaded report: a scan's payload with its repository, tool version and time.
@@ -21,21 +23,37 @@ REPORT_SCHEMA = (
 )
 
 
-def write_batch(df: DataFrame, root: str, table: str, batch: int) -> None:
+class Batch(NamedTuple):
+    """Which delivery writes: numbers of one stream say nothing about those of another."""
+
+    stream: str
+    number: int
+
+
+def current(spark: SparkSession, number: int) -> Batch:
+    """The batch a ``foreachBatch`` call handles; a stream with a new checkpoint is a new stream."""
+    return Batch(spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct", number)
+
+
+def write_batch(df: DataFrame, root: str, table: str, batch: Batch) -> None:
     """Write one batch into its own folder; writing it again replaces it, so retries are safe."""
-    df.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch}")
+    df.write.mode("overwrite").parquet(f"{root}/{table}/stream={batch.stream}/batch={batch.number}")
 
 
-def read_table(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame:
-    """All batches, or those ahead of one; a table nobody wrote yet is empty."""
-    schema = SCHEMAS[table]
+def read_table(
+    spark: SparkSession, root: str, table: str, ahead_of: Batch | None = None, schema: str | None = None
+) -> DataFrame:
+    """All batches, or all but one and what its stream wrote after it; a table nobody wrote yet is empty."""
+    schema = schema or SCHEMAS[table]
     try:
         rows = spark.read.schema(schema).parquet(f"{root}/{table}")
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schema)
-    return rows if before is None else rows.filter(F.col("batch") < before)
+    if ahead_of is None:
+        return rows
+    return rows.filter((F.col("stream") != ahead_of.stream) | (F.col("batch") < ahead_of.number))
 
 
 def report_rows(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,10 +71,26 @@ def report_rows(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reports, inventory
 
 
-def append_reports(uploads: DataFrame, root: str, batch: int) -> None:
-    """Store a batch of uploads. A report delivered twice, in one batch or in two, counts once."""
-    known = read_table(uploads.sparkSession, root, "reports", before=batch).select("report_id")
-    once = uploads.dropDuplicates(["repo", "reportedAt"])
+def append_reports(uploads: DataFrame, root: str, batch: Batch) -> None:
+    """Store a batch of uploads. A report delivered twice, in one batch or in two, counts once.
+
+    Of different uploads under one repository and time, the one that comes first as JSON is taken, report
+    and inventory from the same.
+    """
+    known = read_table(uploads.sparkSession, root, "reports", ahead_of=batch).select("report_id")
+    rest = F.struct(*[c for c in uploads.columns if c not in ("repo", "reportedAt")])
+    once = (
+        uploads.groupBy("repo", "reportedAt").agg(F.min_by(rest, F.to_json(rest, {"ignoreNullFields": "false"})).alias("u"))
+        .select("repo", "reportedAt", "u.*")
+    )
     reports, inventory = report_rows(once)
     write_batch(inventory.join(known, "report_id", "left_anti"), root, "inventory", batch)
     write_batch(reports.join(known, "report_id", "left_anti"), root, "reports", batch)
+
+
+def append_first(rows: DataFrame, root: str, table: str, keys: list[str], batch: Batch) -> None:
+    """Store the rows whose key no earlier batch of any stream stored, one per key: at most once, for ever."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "stream string", "batch long"])
+    known = read_table(rows.sparkSession, root, table, ahead_of=batch, schema=schema).select(*keys).distinct()
+    write_batch(rows.dropDuplicates(keys).join(known, keys, "left_anti"), root, table, batch)

@@ -8,17 +8,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from duskwatch.operators.findings import with_urgency
 from duskwatch.operators.inventory import latest_inventory, notifications
-from duskwatch.sinks.reports import append_reports, read_table, write_batch
+from duskwatch.sinks.reports import Batch, append_first, append_reports, current, read_table, write_batch
+
+#: Work off what is there, then stop. ``{"processingTime": "1 minute"}`` goes on for ever.
+ONCE = {"availableNow": True}
 
 # --- STR-1 -------------------------------------------------------------------------------
 
 
-def ingest_reports(uploads: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream of uploads to the report tables under ``root``, exactly once."""
+def ingest_reports(uploads: DataFrame, root: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
+    """Append a stream of uploads to the report tables under ``root``, exactly once.
+
+    Several streams may share a root, and a stream may be begun again with a new checkpoint.
+    """
     return (
-        uploads.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(lambda batch, number: append_reports(batch, root, number))
+        uploads.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger)
+        .foreachBatch(lambda batch, number: append_reports(batch, root, current(batch.sparkSession, number)))
         .start()
     )
 
@@ -26,16 +31,16 @@ def ingest_reports(uploads: DataFrame, root: str, checkpoint: str) -> StreamingQ
 # --- STR-2 -------------------------------------------------------------------------------
 
 
-def notify_batch(spark: SparkSession, entries: DataFrame, root: str, batch: int) -> None:
+def notify_batch(spark: SparkSession, entries: DataFrame, root: str, batch: Batch) -> None:
     """Handle one delivery of registry entries.
 
     The first delivery ever only marks its entries as seen. Later ones notify every repository
     whose latest inventory holds a package of a new entry, once per repository and entry. State
-    is read from earlier batches only and written to this batch's own folders: a retry after a
-    lost driver repeats the same result.
+    is read from what other deliveries wrote, of any stream, and written to this one's own folders: a
+    retry after a lost driver repeats the same result, and a new checkpoint does not seed again.
     """
-    seen = read_table(spark, root, "seen", before=batch).select("id").distinct()
-    sent = read_table(spark, root, "notifications", before=batch)
+    seen = read_table(spark, root, "seen", ahead_of=batch).select("id").distinct()
+    sent = read_table(spark, root, "notifications", ahead_of=batch)
     first_run = seen.isEmpty()
     if not first_run:
         inventory = latest_inventory(
@@ -47,19 +52,19 @@ def notify_batch(spark: SparkSession, entries: DataFrame, root: str, batch: int)
     write_batch(fresh, root, "seen", batch)
 
 
-def notify_new_entries(entries: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def notify_new_entries(entries: DataFrame, root: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     """Run :func:`notify_batch` over a stream of validated registry entries."""
 
     def handle(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
         try:
-            notify_batch(batch.sparkSession, kept, root, number)
+            notify_batch(batch.sparkSession, kept, root, current(batch.sparkSession, number))
         finally:
             kept.unpersist()
 
     return (
         entries.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(handle).start()
+        .trigger(**trigger).foreachBatch(handle).start()
     )
 
 
@@ -69,11 +74,23 @@ def notify_new_entries(entries: DataFrame, root: str, checkpoint: str) -> Stream
 def drop_repeats(
     stream: DataFrame, keys: list[str], event_time: str = "reported_at", delay: str = "1 day"
 ) -> DataFrame:
-    """Let the first row per key through; its state is forgotten ``delay`` after its time."""
+    """Let the first row per key through; its state is forgotten ``delay`` after its time.
+
+    Repeats further apart come through again: see :func:`keep_first` for at most once.
+    """
     timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def keep_first(stream: DataFrame, keys: list[str], root: str, table: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
+    """Store the first row per key of a stream, however far apart its repeats are."""
+    return (
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger)
+        .foreachBatch(lambda batch, number: append_first(batch, root, table, keys, current(batch.sparkSession, number)))
+        .start()
+    )
+
+
 # --- STR-4 -------------------------------------------------------------------------------
 
 

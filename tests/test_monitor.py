@@ -7,7 +7,7 @@ from duskwatch import registry_from_rows
 from duskwatch.operators.coverage import coverage_audit, lacking_scan
 from duskwatch.operators.inventory import affected_repos, latest_inventory
 from duskwatch.plans.joins import fits_broadcast, salted_join
-from duskwatch.sinks.reports import REPORT_SCHEMA, append_reports, read_table
+from duskwatch.sinks.reports import REPORT_SCHEMA, Batch, append_reports, read_table
 from duskwatch.streaming.monitor import drop_repeats, ingest_reports, notify_batch
 
 
@@ -31,24 +31,24 @@ def test_notifications(spark, tmp_path):
     append_reports(uploads(
         spark, upload("a", "2026-06-01T00:00:00Z", ("Left_Pad", "package.json"), ("old", "package.json")),
         upload("b", "2026-06-01T00:00:00Z", ("left-pad", "requirements.txt")), upload("c", "2026-06-01T00:00:00Z"),
-    ), root, 0)
+    ), root, Batch("s", 0))
     again = upload("a", "2026-06-02T00:00:00Z", ("left-pad", "package.json"))
-    append_reports(uploads(spark, again, again), root, 1)
-    append_reports(uploads(spark, again), root, 2)
+    append_reports(uploads(spark, again, again), root, Batch("s", 1))
+    append_reports(uploads(spark, again), root, Batch("s", 2))
     assert read_table(spark, root, "reports").count() == 4
     newest = latest_inventory(read_table(spark, root, "inventory"), read_table(spark, root, "reports"))
     assert sorted((r.repo, r.name) for r in newest.collect()) == [("a", "left-pad"), ("b", "left-pad")]
 
     first = [entry("e1", "left-pad")]
-    notify_batch(spark, registry_from_rows(spark, first), root, 0)
+    notify_batch(spark, registry_from_rows(spark, first), root, Batch("s", 0))
     assert read_table(spark, root, "notifications").count() == 0  # the first run seeds silently
     more = first + [entry("e2", "left.pad", exts=["js"]), entry("e3", "old"), entry("e4")]
     for _ in range(2):  # a retry repeats the same result
-        notify_batch(spark, registry_from_rows(spark, more), root, 1)
+        notify_batch(spark, registry_from_rows(spark, more), root, Batch("s", 1))
         sent = {(r.repo, r.id) for r in read_table(spark, root, "notifications").collect()}
         assert sent == {("a", "e2")}
     edited = first + [entry("e2", "left-pad"), entry("e3", "left-pad"), entry("e5", "left-pad")]
-    notify_batch(spark, registry_from_rows(spark, edited), root, 2)
+    notify_batch(spark, registry_from_rows(spark, edited), root, Batch("s", 2))
     sent = sorted((r.repo, r.id) for r in read_table(spark, root, "notifications").collect())
     assert sent == [("a", "e2"), ("a", "e5"), ("b", "e5")]
 
