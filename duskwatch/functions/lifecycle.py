@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import datetime as dt
 
 from pyspark.sql import Column
@@ -47,11 +49,9 @@ def effective_status(status: Column, sunset: Column, now) -> Column:
 
 
 def within_days(value, default: int = DEFAULT_WITHIN_DAYS) -> int:
-    """A whole number of days from 0 up, else the default window."""
-    try:
-        days = int(value)
-    except (TypeError, ValueError):
-        return default
+    """The number a value begins with (``7d`` is 7, ``3.5`` is 3) if it is 0 or more, else the default window."""
+    number = re.match(r"\s*([+-]?\d+)", "" if value is None else str(value), re.ASCII)
+    days = int(number[1]) if number else -1
     return days if days >= 0 else default
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from duskwatch.functions.lifecycle import day, days_until, parse_day
 from duskwatch.functions.versions import manifest_compatible, normalize_name
 from duskwatch.operators.dependencies import registry_packages
-from duskwatch.plans.joins import salted_join
+from duskwatch.plans.joins import fits_broadcast, salted_join
 
 
 def latest_reports(reports: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def latest_reports(reports: DataFrame) -> DataFrame:
 def latest_inventory(inventory: DataFrame, reports: DataFrame) -> DataFrame:
     """Rows of each repository's newest report; an empty newest report leaves nothing."""
     newest = latest_reports(reports).select("repo", "report_id")
-    return salted_join(inventory, newest, ["repo", "report_id"], "left_semi", spread=["name"])
+    return inventory.join(newest, ["repo", "report_id"], "left_semi")  # a report is no hot key
 
 
 def new_entries(registry: DataFrame, seen: DataFrame) -> DataFrame:
@@ -31,10 +31,11 @@ def new_entries(registry: DataFrame, seen: DataFrame) -> DataFrame:
 def affected_repos(entries: DataFrame, inventory: DataFrame) -> DataFrame:
     """``(repo, id)`` pairs whose inventory holds a package the entry names."""
     packages = registry_packages(entries).select("id", "norm", "applies_to").distinct()
-    declared = (
-        inventory.select("repo", "manifest", normalize_name(F.col("name")).alias("norm")).distinct()
-    )
-    met = salted_join(declared, packages, ["norm"], "inner", spread=["repo", "manifest"])
+    declared = inventory.select("repo", "manifest", normalize_name(F.col("name")).alias("norm"))
+    if fits_broadcast(packages):  # the few rows that meet a package go on; the fleet is not shuffled
+        met = declared.join(F.broadcast(packages), "norm")
+    else:
+        met = salted_join(declared, packages, ["norm"], "inner", spread=["repo", "manifest"])
     fits = manifest_compatible(F.col("manifest"), F.col("applies_to"))
     return met.filter(fits).select("repo", "id").distinct()
 
@@ -51,11 +52,14 @@ def sunset_calendar(findings: DataFrame, now) -> DataFrame:
     """Upcoming dates across the fleet: repositories and entries touched per day."""
     sunset = F.col("sunset_date")
     dated = findings.select(parse_day(sunset).alias("sunset_day"), "repo", "id")
-    pairs = dated.filter(F.col("sunset_day") >= day(now)).distinct()
-    per_day = pairs.groupBy("sunset_day").agg(
-        F.count_distinct("repo").alias("repos"), F.count(F.lit(1)).alias("findings"),
-        F.count_distinct("id").alias("entries"),
+    upcoming = dated.filter(F.col("sunset_day") >= day(now))
+    # Per day and repository, then per day; per day and entry, then per day: no row is copied for a distinct count.
+    per_id = upcoming.groupBy("sunset_day", "id").agg(F.lit(1)).groupBy("sunset_day").agg(F.count(F.lit(1)).alias("entries"))
+    per_repo = (
+        upcoming.distinct().groupBy("sunset_day", "repo").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("sunset_day").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("findings"))
     )
+    per_day = per_repo.join(per_id, "sunset_day").select("sunset_day", "repos", "findings", "entries")
     return per_day.withColumn("days_left", F.datediff("sunset_day", day(now)))
 
 
