@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duskwatch.llm import sql
 from duskwatch.llm.common import table
 from duskwatch.llm.decontamination import contaminated
 from duskwatch.llm.jaccard import near_duplicates
@@ -66,13 +67,13 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 #: Name, query, SQL for DuckDB (None where SQL cannot express it; then a test holds the query against brute force).
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, None),
-    "op2_quality_rules": (op2_quality_rules, None),
+    "op2_quality_rules": (op2_quality_rules, sql.QUALITY),
     "op3_repeated_passages": (op3_repeated_passages, None),
     "op4_main_text": (op4_main_text, None),
     "op5_hash_tree_shards": (op5_hash_tree_shards, None),
     "op6_decontamination": (op6_decontamination, None),
-    "op7_line_dedup": (op7_line_dedup, None),
+    "op7_line_dedup": (op7_line_dedup, sql.LINES),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
-    "op9_ngram_jaccard": (op9_ngram_jaccard, None),
+    "op9_ngram_jaccard": (op9_ngram_jaccard, sql.COMPONENTS),
     "op10_personal_data": (op10_personal_data, None),
 }
