@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.llm.common import LOWER, WordHashes, arrow_map, settled, windows
 from duskwatch.llm.links import components
-from duskwatch.llm.rarity import by_rarity, cell_counts, ranks
+from duskwatch.llm.rarity import CELLS, by_rarity, cell_counts, ranks
 
 #: Tables of up to so many rows of a few numbers each are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -47,6 +47,13 @@ def _least_pairs(items) -> list[int]:
     return [hash((i, least[2 * i], least[2 * i + 1])) for i in range(GLANCES)]
 
 
+def commonness(items, rank) -> int:
+    """How frequent a set's members are on the whole: among edited copies, the original has the highest."""
+    import numpy as np
+
+    return int(1000 * rank[(items & np.uint64(CELLS - 1)).astype(np.int64)].mean())
+
+
 def _rows(width: int, rank_of, percent: int):
     import numpy as np
 
@@ -55,7 +62,7 @@ def _rows(width: int, rank_of, percent: int):
         from xxhash import xxh64_intdigest
 
         rank, make = rank_of.value, shingle_maker(width)
-        keys, sizes, prefixes, glances = [], [], [], []
+        keys, sizes, prefixes, glances, common = [], [], [], [], []
         for text in texts:
             words, items = make(text or "")
             n = len(items)
@@ -64,14 +71,16 @@ def _rows(width: int, rank_of, percent: int):
                 keys.append(None)
                 prefixes.append(None)
                 glances.append(None)
+                common.append(None)
                 continue
             keys.append(xxh64_intdigest(b" ".join(words)) - (1 << 63))
             prefix = by_rarity(items, rank)[: n - -(-percent * n // 100) + 1]
             prefixes.append(prefix.view(np.int64))
             glances.append(_least_pairs(items))
+            common.append(commonness(items, rank))
         return [
             pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
-            pa.array(glances, pa.list_(pa.int64())),
+            pa.array(glances, pa.list_(pa.int64())), pa.array(common, pa.int32()),
         ]
 
     return run
@@ -123,7 +132,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Nothing is multiplied that is known to be one: equal word sequences are one row of the matrix
     (hot groups of copies are one row too), near copies that a pair of least hashes brings together
-    are compared with the first of their group, and what that links is one component; columns held by one
+    are compared with the most typical of their group, and what that links is one component; columns held by one
     component are dropped, in the others only rows of different components meet. So a group of
     copies costs its size, not the square of it, and no link between components is lost.
 
@@ -135,18 +144,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     make = shingle_maker(width)
     rank = spark.sparkContext.broadcast(ranks(cell_counts(narrow, "text", lambda t: make(t)[1])))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, key bigint, n bigint, prefix array<bigint>, glances array<bigint>"
+    schema = f"doc_id {kind}, key bigint, n bigint, prefix array<bigint>, glances array<bigint>, common int"
     rows = settled(arrow_map(narrow, "text", ["doc_id"], schema, _rows(width, rank, percent)), "sequences")
     reps = settled(
         rows.filter("key is not null and doc_id is not null").groupBy("key").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("glances").alias("glances")
+            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("glances").alias("glances"),
+            F.first("common").alias("common"),
         ),
         "representatives",
     )
     texts = narrow.filter("doc_id is not null")
-    # First glance: each row against the first of its group.
-    glances = reps.select("key", "n", F.explode("glances").alias("g"))
-    firsts = glances.groupBy("g").agg(F.count("*").alias("many"), F.min(F.struct("key", "n")).alias("f")).filter("many > 1")
+    # First glance: each row against the one of its group whose n-grams are the most common.
+    glances = reps.select("key", "n", "common", F.explode("glances").alias("g"))
+    firsts = glances.groupBy("g").agg(F.count("*").alias("many"), F.max(F.struct("common", "key", "n")).alias("f")).filter("many > 1")
     near = (
         glances.join(firsts.select("g", F.col("f.key").alias("b"), F.col("f.n").alias("n_b")), "g")
         .filter((F.col("key") != F.col("b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
@@ -171,6 +181,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         a.join(b, "column")
         .filter((F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")))
         .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        # The first common column of two sets this large stands before these places.
+        .filter((F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need))
         # The last common column of the prefixes bounds what is still to come; an earlier one bounds it more loosely.
         .groupBy("key_a", "key_b").agg(
             F.count("*").alias("overlap"), F.min(rest).alias("rest"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")

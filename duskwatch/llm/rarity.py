@@ -23,11 +23,10 @@ def cell_counts(docs: DataFrame, text: str, items):
 
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                if value:
-                    found = items(value)
-                    if len(found):
-                        np.add.at(total, (found & np.uint64(CELLS - 1)).astype(np.int64), 1)
+            found = [items(value) for value in batch.column(0).to_pylist() if value]
+            if found:
+                cells = np.concatenate(found) & np.uint64(CELLS - 1)
+                total += np.bincount(cells.astype(np.int64), minlength=CELLS)
         parts = total.reshape(RANGES, -1)
         used = [i for i in range(RANGES) if parts[i].any()]
         yield pa.RecordBatch.from_arrays(
