@@ -5,25 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import LOWER, WordHashes, arrow_map, settled
-from duskwatch.llm.jaccard import _least_pairs, small_side
-from duskwatch.llm.rarity import by_rarity, cell_counts, ranks
+from duskwatch.llm.common import LOWER, WordHashes, mixed, settled
+from duskwatch.llm.jaccard import small_side
+from duskwatch.llm.rarity import CELLS, cell_counts, ranks
 
-#: Multiplier that draws a line's word hashes into the hash of its set.
-ODD = 0x9E3779B97F4A7C15
-
-
-def _line_sets(hashes: WordHashes, text: str) -> list:
-    """Per line of the text: its distinct word hashes, sorted; None for a line without a word."""
-    import numpy as np
-
-    split = [line.split() for line in text.encode().translate(LOWER).split(b"\n")]
-    flat = hashes.of([w for words in split for w in words])
-    out, at = [], 0
-    for words in split:
-        out.append(np.unique(flat[at : at + len(words)]) if words else None)
-        at += len(words)
-    return out
+#: Pairs of least hashes that variants of a line are first brought together by.
+GLANCES = 3
+#: Text that a task turns into arrays at once.
+PIECE_BYTES = 2_000_000
 
 
 def _all_words(hashes: WordHashes):
@@ -33,65 +22,135 @@ def _all_words(hashes: WordHashes):
     return make
 
 
-def _set_hash(items) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(items.tobytes()) - (1 << 63)
-
-
-def _rows(rank_of, percent: int):
+def _pieces(batch, text: int):
+    """A batch cut into runs of rows with about two million characters of text; a longer text is a run of its own."""
+    held, start = 0, 0
+    for row, value in enumerate(batch.column(text)):
+        held += len(value.as_buffer()) if value.is_valid else 0
+        if held >= PIECE_BYTES:
+            yield batch.slice(start, row + 1 - start)
+            held, start = 0, row + 1
+    yield batch.slice(start)
+
+
+class LineSets:
+    """The word sets of all lines of some texts, as flat arrays: words of one line stand together, the rarest first."""
+
+    def __init__(self, hashes: WordHashes, texts: list[str | None], rank=None):
+        import numpy as np
+
+        owners, numbers, sizes, codes = [], [], [], []
+        ids: dict[bytes, int] = {}
+        add = ids.setdefault
+        for row, text in enumerate(texts):
+            if not text:
+                continue
+            for number, line in enumerate(text.encode().translate(LOWER).split(b"\n")):
+                if found := line.split():
+                    owners.append(row)
+                    numbers.append(number)
+                    sizes.append(len(found))
+                    codes += [add(w, len(ids)) for w in found]
+        self.rows = np.array(owners, dtype=np.int64)  # of the batch
+        self.numbers = np.array(numbers, dtype=np.int32)  # of the line in its text
+        words = hashes.of(list(ids))
+        if rank is not None:
+            order = np.lexsort((words, rank[(words & np.uint64(CELLS - 1)).astype(np.int64)]))
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            words, codes = words[order], place[np.array(codes, dtype=np.int64)]
+        line = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+        both = line << 32 | np.asarray(codes, dtype=np.int64)
+        both.sort()
+        both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+        self.items, self.line = words[both & 0xFFFFFFFF], both >> 32
+        self.n = np.bincount(self.line, minlength=len(sizes)).astype(np.int64)
+        self.starts = np.cumsum(self.n) - self.n
+
+    def each(self, ufunc, values):
+        """One number a line from the values of its words."""
+        return ufunc.reduceat(values, self.starts) if len(self.starts) else values
+
+    def ids(self):
+        import numpy as np
+
+        return mixed(self.each(np.add, mixed(self.items)) + self.n.astype(np.uint64)).view(np.int64)
+
+    def bitmaps(self):
+        """64 bits a line, turned over by its words: two lines differ in no more bits than in words."""
+        import numpy as np
+
+        return self.each(np.bitwise_xor, np.uint64(1) << (self.items >> np.uint64(58))).view(np.int64)
+
+    def glances(self):
+        import numpy as np
+
+        least = [self.each(np.minimum, mixed(self.items ^ np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for i in range(1, 2 * GLANCES + 1)]
+        pairs = [mixed(least[2 * i] + mixed(least[2 * i + 1] + np.uint64(i))).view(np.int64) for i in range(GLANCES)]
+        return np.stack(pairs, axis=1) if pairs else None
+
+    def prefixes(self, percent: int):
+        """(words, offsets) of each line's rarest words, as many as one of two like lines must share one of."""
+        import numpy as np
+
+        keep = self.n + (-percent * self.n // 100) + 1
+        first = np.arange(len(self.items)) - self.starts[self.line] < keep[self.line]
+        # Shorter hashes only bring a few more candidates.
+        words = (self.items[first] >> np.uint64(33)).astype(np.int32)
+        return words, np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+
+
+def _seen(rank_of, percent: int):
     import numpy as np
 
-    def run(texts: list[str | None]) -> list:
+    def run(batches):
         import pyarrow as pa
 
-        rank, hashes, out = rank_of.value, WordHashes(), []
-        for text in texts:
-            lines = []
-            for at, items in enumerate(_line_sets(hashes, text) if text else []):
-                if items is None:
-                    continue
-                n = len(items)
-                prefix = by_rarity(items, rank)[: n - -(-percent * n // 100) + 1]
-                short = (prefix >> np.uint64(33)).astype(np.int32)  # shorter hashes only bring a few more candidates
-                lines.append({"line": at, "set": _set_hash(items), "n": n, "prefix": short, "glances": _least_pairs(items)[:3] if n > 4 else []})
-            out.append(lines)
-        kind = pa.list_(pa.struct([
-            ("line", pa.int32()), ("set", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int32())), ("glances", pa.list_(pa.int64())),
-        ]))
-        return [pa.array(out, kind)]
+        rank, hashes = rank_of.value, WordHashes()
+        for batch in (piece for whole in batches for piece in _pieces(whole, 1)):
+            sets = LineSets(hashes, batch.column(1).to_pylist(), rank)
+            words, offsets = sets.prefixes(percent)
+            glances = sets.glances().reshape(-1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(sets.rows)), pa.array(sets.numbers), pa.array(sets.ids()),
+                    pa.array(sets.n.astype(np.int32)), pa.array(sets.bitmaps()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words)),
+                    pa.ListArray.from_arrays(pa.array((np.arange(len(sets.n) + 1) * GLANCES).astype(np.int32)), pa.array(glances)),
+                ],
+                names=["doc_id", "line", "set", "n", "bits", "prefix", "glances"],
+            )
 
     return run
 
 
-def _full(texts: list[str | None]) -> list:
+def _whole(batches):
     import numpy as np
     import pyarrow as pa
 
-    hashes, out = WordHashes(), []
-    for text in texts:
-        out.append([
-            {"set": _set_hash(items), "items": items.view(np.int64)} for items in (_line_sets(hashes, text) if text else []) if items is not None
-        ])
-    return [pa.array(out, pa.list_(pa.struct([("set", pa.int64()), ("items", pa.list_(pa.int64()))])))]
+    hashes = WordHashes()
+    for batch in (piece for whole in batches for piece in _pieces(whole, 0)):
+        sets = LineSets(hashes, batch.column(0).to_pylist())
+        offsets = np.concatenate([[0], np.cumsum(sets.n)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sets.ids()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.items.view(np.int64)))], names=["set", "items"]
+        )
 
 
 def _fetch(pairs: DataFrame, classes: DataFrame, texts: DataFrame, have: DataFrame | None = None) -> DataFrame:
-    """The word sets of the lines in ``pairs``, read again from the documents that hold them first."""
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
+    """The word sets of the classes in ``pairs``, read again from the documents that hold them first."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     if have is not None:
-        wanted = wanted.join(have.select("set"), "set", "left_anti")
-    wanted = settled(wanted.join(classes.select("set", "first.doc_id"), "set"), "wanted-lines")
+        wanted = wanted.join(have.select("id"), "id", "left_anti")
+    wanted = settled(wanted.join(classes.select("id", "set", "doc_id"), "id"), "wanted-lines")
     holders = settled(wanted.select("doc_id").distinct(), "wanted-docs")
-    read = texts.join(small_side(holders), "doc_id").select("text")
-    lines = arrow_map(read, "text", [], "lines array<struct<set:bigint,items:array<bigint>>>", _full)
-    found = lines.select(F.explode("lines").alias("l")).select("l.set", "l.items").join(small_side(wanted.select("set")), "set", "left_semi")
-    return settled(found.groupBy("set").agg(F.first("items").alias("items")), "line-sets")
+    lines = texts.join(small_side(holders), "doc_id").select("text").mapInArrow(_whole, "set bigint, items array<bigint>")
+    found = lines.join(small_side(wanted.select("set", "id")), "set")
+    return settled(found.groupBy("id").agg(F.first("items").alias("items")), "line-sets")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of line sets with Jaccard >= percent / 100."""
-    left, right = (sets.select(F.col("set").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
+    left, right = (sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
     overlap = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - overlap
     return pairs.join(left, "a").join(right, "b").filter(100 * overlap >= percent * union).select("a", "b")
@@ -104,8 +163,9 @@ def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     goes if any earlier line is like it, whether that one stays or not.
 
     Lines of one set are one class with one first place. Words of a set are ordered by rarity in the corpus; the
-    rarest ones, as many as two like sets must share one of, are joined. Pairs pass a length filter and
-    a positional filter, and Jaccard is verified on the whole sets. Before that, classes that a pair of
+    rarest ones, as many as two like sets must share one of, are joined. Pairs pass a length filter,
+    a positional filter and a 64-bit bitmap that differs in no more bits than the sets do in words;
+    then Jaccard is verified on the whole sets. Before that, classes that a pair of
     least hashes brings together are compared with the first of their group: what is like it is
     settled and searches no more, so a large group of variants is not paired out.
 
@@ -115,51 +175,54 @@ def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     rank = docs.sparkSession.sparkContext.broadcast(ranks(cell_counts(narrow, "text", _all_words(WordHashes()))))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    made = "lines array<struct<line:int,set:bigint,n:int,prefix:array<int>,glances:array<bigint>>>"
-    occurrences = settled(
-        arrow_map(narrow, "text", ["doc_id"], f"doc_id {kind}, {made}", _rows(rank, percent))
-        .select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.*"),
-        "line-sets-seen",
+    seen = settled(
+        narrow.mapInArrow(
+            _seen(rank, percent),
+            f"doc_id {kind}, line int, set bigint, n int, bits bigint, prefix array<int>, glances array<bigint>",
+        ),
+        "lines-seen",
+    )
+    firsts = seen.groupBy("set").agg(
+        F.min(F.struct("doc_id", "line")).alias("at"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix", "glances")]
     )
+    # Sorted by their first places, the classes' numbers are in that order.
     classes = settled(
-        occurrences.groupBy("set").agg(
-            F.min(F.struct("doc_id", "line")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-            F.first("glances").alias("glances"),
-        ),
+        firsts.select("set", "at.*", "n", "bits", "prefix", "glances").orderBy("doc_id", "line").withColumn("id", F.monotonically_increasing_id()),
         "line-classes",
     )
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    near_enough = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * need
+    side = lambda df, s, *more: df.select(*more, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "bits")])
     # First glance: each class against the earliest of its group.
-    glances = classes.select("set", "first", "n", F.explode("glances").alias("g"))
-    firsts = glances.groupBy("g").agg(F.count("*").alias("many"), F.min(F.struct("first", "set", "n")).alias("f")).filter("many > 1")
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    glances = classes.select("id", "n", "bits", F.explode("glances").alias("g"))
+    leaders = glances.groupBy("g").agg(F.count("*").alias("many"), F.min(F.struct("id", "n", "bits")).alias("f")).filter("many > 1")
     near = settled(
-        glances.join(firsts.select("g", F.col("f.set").alias("b"), F.col("f.n").alias("n_b")), "g")
-        .filter((F.col("set") != F.col("b")) & fits("n", "n_b")).select(F.col("set").alias("a"), "b").distinct(),
+        side(glances, "a", "g").join(side(leaders.select("g", "f.*"), "b", "g"), "g")
+        .filter((F.col("id_a") != F.col("id_b")) & fits & near_enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(),
         "lines-glanced",
     )
     sets = _fetch(near, classes, narrow)
-    resolved = settled(_alike(near, sets, percent).select(F.col("a").alias("set")).distinct(), "lines-resolved")
+    resolved = settled(_alike(near, sets, percent).select(F.col("a").alias("id")).distinct(), "lines-resolved")
     # The join: classes that still search, against all earlier ones.
-    spread = lambda df: df.select("set", "first", "n", F.posexplode("prefix").alias("pos", "word"))
-    searching = spread(classes.join(small_side(resolved), "set", "left_anti"))
-    a = searching.select("word", *[F.col(c).alias(f"{c}_a") for c in ("set", "first", "n", "pos")])
-    b = spread(classes).select("word", *[F.col(c).alias(f"{c}_b") for c in ("set", "first", "n", "pos")])
-    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    could = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + F.least("pos_a", "pos_b")
+    spread = lambda df: df.select("id", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    a = side(spread(classes.join(small_side(resolved), "id", "left_anti")), "a", "word", F.col("pos").alias("pos_a"))
+    b = side(spread(classes), "b", "word", F.col("pos").alias("pos_b"))
     pairs = settled(
-        a.join(b, "word").filter((F.col("first_b") < F.col("first_a")) & fits("n_a", "n_b") & (could >= need))
-        .select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct(),
+        a.join(b, "word").filter((F.col("id_b") < F.col("id_a")) & fits & near_enough)
+        # The first common word of two sets this large stands before these places.
+        .filter((F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need))
+        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(),
         "line-pairs",
     )
     more = _fetch(pairs, classes, narrow, have=sets)
-    joined = _alike(pairs, sets.unionByName(more), percent).select(F.col("a").alias("set"))
-    gone = settled(resolved.union(joined).distinct().withColumn("gone", F.lit(True)), "lines-gone")
-    places = occurrences.select("doc_id", "line", "set").distinct()
-    firsts = classes.select("set", "first", F.lit(1).alias("known"))
+    joined = _alike(pairs, sets.unionByName(more), percent).select(F.col("a").alias("id"))
+    gone = settled(resolved.union(joined).distinct(), "lines-gone").withColumn("gone", F.lit(True))
+    judged = classes.select("id", "set", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")).join(gone, "id", "left")
     return (
-        places.join(firsts, "set").join(gone, "set", "left")
-        .filter(F.col("gone").isNotNull() | (F.struct("doc_id", "line") != F.col("first")))
-        .select("doc_id", "line")
+        seen.select("doc_id", "line", "set").join(judged, "set")
+        .filter(F.col("gone").isNotNull() | (F.col("doc_id") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
+        .select("doc_id", "line").distinct()
     )
 
 
