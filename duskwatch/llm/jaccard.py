@@ -167,13 +167,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     links = settled(_linked(near, sets, percent), "near-links")
     roots = settled(components(links), "roots")
     # The product, between components only.
-    placed = reps.select("key", "n", "prefix").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+    placed = reps.select("key", "n", "prefix").join(small_side(roots.withColumnRenamed("node", "key")), "key", "left").select(
         "key", "n", F.coalesce("root", "key").alias("comp"), F.posexplode("prefix").alias("pos", "column")
     )
     mixed_columns = settled(
         placed.groupBy("column").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("column"), "columns"
     )
-    entries = settled(placed.join(small_side(mixed_columns), "column"), "entries")
+    entries = settled(placed.join(mixed_columns, "column"), "entries")
     a, b = (entries.select("column", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "comp", "pos")]) for s in "ab")
     need = _bounded(F.col("n_a"), F.col("n_b"), percent)
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
