@@ -15,6 +15,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+#: Text that a task works on at once.
+PIECE_BYTES = 2_000_000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -46,7 +50,7 @@ def mixed(values):
 class WordHashes:
     """64-bit hashes of words, remembered for the words of the current batches only."""
 
-    def __init__(self, keep: int = 400_000):
+    def __init__(self, keep: int = 150_000):
         self.known: dict[bytes, int] = {}
         self.keep = keep
 
@@ -74,6 +78,21 @@ def windows(hashes, width: int):
     return mixed(total)
 
 
+def pieces(batch, text: int):
+    """An Arrow batch cut into runs of rows with about two million bytes of text; a longer text is a run of its own.
+
+    What tasks build from a text is many times its size: they build it for a piece, not for ten thousand rows.
+    """
+    held, start = 0, 0
+    for row, value in enumerate(batch.column(text)):
+        held += len(value.as_buffer()) if value.is_valid else 0
+        if held >= PIECE_BYTES:
+            yield batch.slice(start, row + 1 - start)
+            held, start = 0, row + 1
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def arrow_map(df: DataFrame, text: str, keep: list[str], schema: str, make) -> DataFrame:
     """Apply ``make(list of texts) -> list of arrow arrays`` to Arrow batches of ``text``.
 
@@ -85,10 +104,12 @@ def arrow_map(df: DataFrame, text: str, keep: list[str], schema: str, make) -> D
     names = [f.strip().split(" ", 1)[0] for f in _fields(schema)]
 
     def run(batches):
-        for batch in batches:
-            made = make(batch.column(batch.schema.get_field_index(text)).to_pylist())
-            kept = [batch.column(batch.schema.get_field_index(k)) for k in keep]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=names)
+        for whole in batches:
+            at = whole.schema.get_field_index(text)
+            for batch in pieces(whole, at):
+                made = make(batch.column(at).to_pylist())
+                kept = [batch.column(batch.schema.get_field_index(k)) for k in keep]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=names)
 
     return df.mapInArrow(run, schema)
 

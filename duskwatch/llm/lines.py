@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import LOWER, WordHashes, mixed, settled
+from duskwatch.llm.common import LOWER, WordHashes, mixed, pieces, settled
 from duskwatch.llm.jaccard import small_side
 from duskwatch.llm.rarity import CELLS, cell_counts, ranks
 
 #: Pairs of least hashes that variants of a line are first brought together by.
 GLANCES = 3
-#: Text that a task turns into arrays at once.
-PIECE_BYTES = 2_000_000
 
 
 def _all_words(hashes: WordHashes):
@@ -22,17 +20,6 @@ def _all_words(hashes: WordHashes):
     return make
 
 
-def _pieces(batch, text: int):
-    """A batch cut into runs of rows with about two million characters of text; a longer text is a run of its own."""
-    held, start = 0, 0
-    for row, value in enumerate(batch.column(text)):
-        held += len(value.as_buffer()) if value.is_valid else 0
-        if held >= PIECE_BYTES:
-            yield batch.slice(start, row + 1 - start)
-            held, start = 0, row + 1
-    yield batch.slice(start)
-
-
 class LineSets:
     """The word sets of all lines of some texts, as flat arrays: words of one line stand together, the rarest first."""
 
@@ -107,7 +94,7 @@ def _seen(rank_of, percent: int):
         import pyarrow as pa
 
         rank, hashes = rank_of.value, WordHashes()
-        for batch in (piece for whole in batches for piece in _pieces(whole, 1)):
+        for batch in (piece for whole in batches for piece in pieces(whole, 1)):
             sets = LineSets(hashes, batch.column(1).to_pylist(), rank)
             words, offsets = sets.prefixes(percent)
             glances = sets.glances().reshape(-1)
@@ -128,7 +115,7 @@ def _whole(batches):
     import pyarrow as pa
 
     hashes = WordHashes()
-    for batch in (piece for whole in batches for piece in _pieces(whole, 0)):
+    for batch in (piece for whole in batches for piece in pieces(whole, 0)):
         sets = LineSets(hashes, batch.column(0).to_pylist())
         offsets = np.concatenate([[0], np.cumsum(sets.n)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(

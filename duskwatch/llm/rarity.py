@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from duskwatch.llm.common import pieces
+
 #: Cells of the table. Items that share a cell share a count: the order stays the same for everybody,
 #: which is all that an exact prefix filter needs; counts only decide how selective the filter is.
 CELLS = 1 << 20
@@ -22,7 +24,7 @@ def cell_counts(docs: DataFrame, text: str, items):
         import pyarrow as pa
 
         total = np.zeros(CELLS, dtype=np.int64)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 0)):
             found = [items(value) for value in batch.column(0).to_pylist() if value]
             if found:
                 cells = np.concatenate(found) & np.uint64(CELLS - 1)
