@@ -282,11 +282,13 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text",
     overlap no fixed form. Null and empty texts have no spans; repeated rows each get their row; with
     no rows to train on, nothing is added.
     """
-    sample = (
-        docs.filter(F.col(text).rlike(r"@|\+[0-9]|[0-9]{3}")).select(F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
-        .filter(F.length("text") < 20_000).orderBy("h").limit(train_docs).select("text")
+    telling = docs.filter(F.col(text).rlike(r"@|\+[0-9]|[0-9]{3}") & (F.length(text) < 20_000)).select(
+        F.col(text).alias("text"), F.xxhash64(key, text).alias("h")
     )
-    field = train([r.text for r in sample.collect()])
+    # Numbers first, so that no task sends the driver texts which are not chosen in the end.
+    last = telling.select("h").orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+    chosen = telling.filter(F.col("h") <= last).orderBy("h").limit(train_docs).collect() if last is not None else []
+    field = train([r.text for r in chosen])
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     schema = (
         f"doc_id {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"n_{k} bigint" for k in KINDS)
