@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import prose
+from llm.conftest import prose
 from duskwatch.llm.decontamination import contaminated, decontaminate
 from duskwatch.llm.jaccard import near_duplicates, one_of_each
 from duskwatch.llm.lines import count_later_lines, dedup_lines
