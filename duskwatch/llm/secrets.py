@@ -100,7 +100,7 @@ def scan_secrets(
     from a shuffle that Spark can split.
     """
     rows, spans = secret_candidates(docs, key, text, repo, owner)
-    judged = spans.join(ownership(spans), "hash").withColumn("live", F.col("live_looking") & (F.col("owners") <= max_owners))
+    judged = spans.join(settled(ownership(spans), "secret-owners"), "hash").withColumn("live", F.col("live_looking") & (F.col("owners") <= max_owners))
     span = F.struct("start", "kind_ord", "end", "kind", "live", "owners", "repos")
     per_row = judged.groupBy("rid").agg(F.sort_array(F.collect_list(span)).alias("all"))
     base = F.filter("all", lambda s: s["kind"] != "owned")
