@@ -157,8 +157,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     # First glance: each row against the one of its group whose n-grams are the most common.
     glances = reps.select("key", "n", "common", F.explode("glances").alias("g"))
     firsts = glances.groupBy("g").agg(F.count("*").alias("many"), F.max(F.struct("common", "key", "n")).alias("f")).filter("many > 1")
+    firsts = settled(firsts.select("g", F.col("f.key").alias("b"), F.col("f.n").alias("n_b")), "leaders")
     near = (
-        glances.join(firsts.select("g", F.col("f.key").alias("b"), F.col("f.n").alias("n_b")), "g")
+        glances.join(firsts, "g")
         .filter((F.col("key") != F.col("b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
         .select(F.col("key").alias("a"), "b").distinct()
     )

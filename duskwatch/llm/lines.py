@@ -184,8 +184,9 @@ def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     # First glance: each class against the earliest of its group.
     glances = classes.select("id", "n", "bits", F.explode("glances").alias("g"))
     leaders = glances.groupBy("g").agg(F.count("*").alias("many"), F.min(F.struct("id", "n", "bits")).alias("f")).filter("many > 1")
+    leaders = settled(leaders.select("g", "f.*"), "line-leaders")
     near = settled(
-        side(glances, "a", "g").join(side(leaders.select("g", "f.*"), "b", "g"), "g")
+        side(glances, "a", "g").join(side(leaders, "b", "g"), "g")
         .filter((F.col("id_a") != F.col("id_b")) & fits & near_enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(),
         "lines-glanced",
     )
