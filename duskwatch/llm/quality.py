@@ -61,12 +61,12 @@ def row_key(key: str, host: str, text: str) -> Column:
 
 def judge_quality(
     docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text",
-    min_docs: int = 20, host_share: float = 0.2, least_left: float = 0.3,
+    min_docs: int = 20, least_left: float = 0.3,
 ) -> DataFrame:
     """Per row: the base counts, the lines to remove (``gone``, from 0) and the verdict ``kept``.
 
     A line, in small ASCII letters and single blanks, is a template line of its host if more than
-    ``min_docs`` distinct documents and more than ``host_share`` of the host's documents hold it.
+    ``min_docs`` distinct documents hold it; the limit is the same at every size of a host.
     Documents with the same text count once, so copies do not turn their lines into templates.
     The document with the smallest key keeps the line. A document of which less than
     ``least_left`` of the words would be left is rejected, as is one that fails the base rules.
@@ -89,14 +89,10 @@ def judge_quality(
         "quality",
     )
     lines = rows.select("doc_id", "host", "text_hash", F.explode(F.array_distinct("line_hashes")).alias("line")).filter("line is not null")
-    frequent = (
+    templates = settled(
         lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("first"))
         .groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("first").alias("first"))
-        .filter(F.col("docs") > min_docs)
-    )
-    hosts = rows.groupBy("host", "text_hash").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("host_docs"))
-    templates = settled(
-        frequent.join(hosts, "host").filter(F.col("docs") > host_share * F.col("host_docs")).select("host", "line", "first"),
+        .filter(F.col("docs") > min_docs).select("host", "line", "first"),
         "template-lines",
     )
     placed = rows.select(

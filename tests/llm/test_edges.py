@@ -107,6 +107,16 @@ def test_template_lines_go_and_copies_do_not(spark):
     assert not judged[200].kept
 
 
+@pytest.mark.parametrize("size", [250, 500])
+def test_license_lines_of_a_large_host_go(spark, size):
+    licensed = "Licensed to all under the terms below\n"
+    rows = [(i, (licensed if i % 10 == 0 else "") + prose(60, i), "h") for i in range(size)]
+    rows += [(1000 + i, (licensed if i < 20 else "") + prose(60, i), "few") for i in range(25)]
+    judged = {r.doc_id: r for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i for i, r in judged.items() if r.gone} == set(range(10, size, 10))  # the first document keeps it, 20 are too few
+    assert all(r.kept and r.n_template_words == 7 for r in judged.values() if r.gone)
+
+
 def test_copied_secrets_and_own_ones(spark):
     key = "A9f3Kq81Zx7Lm2Pw5Rt6Yb4Nc0"
     rows = [(i, f"token = {key}a", f"o{i}", "r") for i in range(5)] + [(9, f"token = {key}b see {key}Own1", "o9", "r")]
