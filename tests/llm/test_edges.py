@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing names, for every operator."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,22 @@ def test_passages(edge, spark):
     assert (r.doc_id, r.first_doc_id, r.start_word, r.end_word, r.first_start, r.first_end) == (2, 1, 50, 129, 90, 170)
 
 
+@pytest.mark.parametrize("length, every, share", [(50, None, 0.1), (50, None, 0.15), (50, None, 0.2), (80, None, 0.15), (120, None, 0.2), (50, 10, 0), (50, 5, 0)])
+def test_edited_passages_are_found_like_brute_force(spark, length, every, share):
+    """Pairs of documents that share one passage, edited in places chosen by chance or evenly; alike by a full comparison."""
+    rng, rows, n = random.Random(length + int(100 * share)), [], 40
+    fresh = lambda: f"w{rng.randrange(10**9)}"
+    for pair in range(n):
+        passage = [fresh() for _ in range(length)]
+        at = range(every - 1, length - 1, every) if every else rng.sample(range(1, length - 1), round(share * length))
+        edited = [fresh() if i in at else w for i, w in enumerate(passage)]
+        assert sum(a == b for a, b in zip(passage, edited, strict=True)) >= 0.8 * length
+        for key, middle in ((pair, passage), (n + pair, edited)):
+            rows.append((key, " ".join([*(fresh() for _ in range(60)), *middle, *(fresh() for _ in range(60))])))
+    got = {(r.doc_id, r.first_doc_id) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(n + p, p) for p in range(n)} and len(got) >= 0.95 * n
+
+
 def test_pages(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a</p>", "x"), (2, "u", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
