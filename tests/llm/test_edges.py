@@ -108,6 +108,16 @@ def test_edited_passages_are_found_like_brute_force(spark, length, every, share)
     assert got <= {(n + p, p) for p in range(n)} and len(got) >= 0.95 * n
 
 
+def test_passages_over_parts_of_two_documents(spark):
+    one, two = prose(30, 21), prose(30, 22)
+    rows = [
+        (1, prose(90, 31) + " " + one + " " + prose(90, 32)), (2, prose(90, 33) + " " + two + " " + prose(90, 34)),
+        (3, prose(40, 35) + f" {one} {two} " + prose(70, 36)), (4, prose(80, 37) + f" {one} {two} " + prose(50, 38)),
+    ]
+    (r,) = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert (r.doc_id, r.first_doc_id, r.start_word, r.end_word, r.first_start, r.first_end, r.matched) == (4, 3, 80, 140, 40, 100, 60)
+
+
 def test_pages(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a</p>", "x"), (2, "u", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
