@@ -20,6 +20,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 TELLING = re.compile("[0-9@]")
+#: What a line the field reads must hold: all that it adds has seven digits or an "(at)".
+READ = re.compile(r"[0-9@]|\(at\)")
 EDGE = ".,;:!?\"'()[]{}<>#*$%&|"
 
 
@@ -251,11 +253,11 @@ def _detect(field: Field):
         more: list[list] = [[] for _ in texts]
         where, lines = [], []
         for i, text in enumerate(texts):
-            if not TELLING.search(text):
+            if not READ.search(text):
                 continue
             at = 0
             for line in text.split("\n"):
-                if TELLING.search(line):
+                if READ.search(line):
                     words = list(TOKEN.finditer(line))
                     where.append((i, at, words))
                     lines.append([w[0] for w in words])
@@ -278,7 +280,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     The field is trained on at most ``train_docs`` rows with digits or an @ in their text, those with the
     smallest hash of key and text, labelled by the fixed forms; everything is decoded. It reads words
-    of lines that hold a digit or an @: its entities need one. Its spans (``crf_...``) are added where they
+    of lines that hold a digit, an @ or an "(at)": its entities need one. Its spans (``crf_...``) are added where they
     overlap no fixed form. Null and empty texts have no spans; repeated rows each get their row; with
     no rows to train on, nothing is added.
     """

@@ -145,6 +145,13 @@ def test_license_lines_of_a_large_host_go(spark, size):
     assert all(r.kept and r.n_template_words == 7 for r in judged.values() if r.gone)
 
 
+def test_written_out_addresses_need_no_digit(spark):
+    rows = [(i, f"please write to {n}.{n}@mail.org for more of it") for i, n in enumerate(("jane", "peter", "alice", "robert", "maria") * 12)]
+    rows += [(100, "please write to susan.baker(at)mail.org for more of it"), (101, "a line\nplease write to susan.baker(at)mail.org for more of it\n1 more")]
+    got = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[100], got[101]) == ("crf_email:16:39", "crf_email:23:46")
+
+
 def test_copied_secrets_and_own_ones(spark):
     key = "A9f3Kq81Zx7Lm2Pw5Rt6Yb4Nc0"
     rows = [(i, f"token = {key}a", f"o{i}", "r") for i in range(5)] + [(9, f"token = {key}b see {key}Own1", "o9", "r")]
