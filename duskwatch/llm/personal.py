@@ -64,7 +64,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def shape(word: str) -> str:
     """Kind of each character, runs of over three drawn together: ``+1`` is ``+d``, ``555-5433`` is ``ddd-D``."""
     kinds = "".join(
-        "d" if "0" <= c <= "9" else ("X" if c.isupper() else "x") if c.isalpha() else c for c in word[:64]
+        "d" if "0" <= c <= "9" else ("X" if c.isupper() else "x") if c.isalpha() else c for c in word
     )
     return re.sub(r"(.)\1{3,}", lambda m: "D" if m[1] == "d" else m[1] + "+", kinds)
 

@@ -101,6 +101,10 @@ def test_shape_and_long_runs():
     assert base_spans("a@b@c.de f@g.h.i") == [(0, 2, 8), (0, 9, 16)]
 
 
+def test_shape_is_of_the_whole_word():
+    assert shape("a/" * 40 + "+1") == "x/" * 40 + "+d"
+
+
 def _drawn(key: int, tree: tuple[Shard, ...]) -> int:
     def draw(level, ids):
         def u(i):
