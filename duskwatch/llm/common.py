@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +26,46 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: The folder of the innermost ``scratch`` block, if any.
+_FOLDER: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def _written(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    path = f"{folder or shared_folder(df.sparkSession) + '/llm'}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder all executors share and read back.
 
     Lineage ends here: a lost executor costs a read, not a recomputation, and row numbers given
-    before stay what they were.
+    before stay what they were. Inside a ``scratch`` block the table goes with the block.
     """
-    path = f"{shared_folder(df.sparkSession)}/llm/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, _FOLDER.get(), name)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder on whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A folder for what ``settled`` writes inside the block, deleted when the block ends.
+
+    Yields a function like ``settled`` for the tables that outlive the block: it writes them where
+    the block itself stands, so that an outer block still clears them.
+    """
+    outer = _FOLDER.get()
+    folder = f"{outer or shared_folder(spark) + '/llm'}/scratch-{uuid4().hex}"
+    token = _FOLDER.set(folder)
+    try:
+        yield lambda df, name: _written(df, outer, name)
+    finally:
+        _FOLDER.reset(token)
+        delete_folder(spark, folder)
 
 
 def mixed(values):

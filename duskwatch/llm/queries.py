@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from duskwatch.llm import sql
 from duskwatch.llm.common import table
 from duskwatch.llm.decontamination import contaminated
+from duskwatch.llm.divergence import audit_sources
 from duskwatch.llm.jaccard import near_duplicates
+from duskwatch.llm.language import identify_language, learn
 from duskwatch.llm.lines import count_later_lines
+from duskwatch.llm.negatives import mine_hard_negatives
 from duskwatch.llm.packing import pack_documents
 from duskwatch.llm.pages import extract_main_text
 from duskwatch.llm.passages import repeated_passages
@@ -64,6 +67,24 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return find_personal_data(table(spark, folder, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_sources(table(spark, folder, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of every seventh vector are moved on by one, as the contract has it."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), "embedding"))
+
+
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """A third of the documents, chosen by a checksum of their ids, is never learned from."""
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = learn(docs.filter(~held_out), order=F.xxhash64("doc_id"))
+    return identify_language(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), model, keep=("held_out",))
+
+
 #: Name, query, SQL for DuckDB (None where SQL cannot express it; then a test holds the query against brute force).
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, None),
@@ -76,4 +97,7 @@ QUERIES = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_ngram_jaccard": (op9_ngram_jaccard, sql.COMPONENTS),
     "op10_personal_data": (op10_personal_data, None),
+    "op11_source_divergence": (op11_source_divergence, sql.DIVERGENCE),
+    "op12_hard_negatives": (op12_hard_negatives, sql.NEGATIVES),
+    "op13_language_id": (op13_language_id, None),
 }
