@@ -28,8 +28,10 @@ def directions(dim: int, sample=None):
     import numpy as np
 
     axes = np.zeros((DIRECTIONS, dim))
-    axes[np.arange(DIRECTIONS), np.arange(DIRECTIONS) % max(dim, 1)] = 1.0 if dim else 0.0
-    if sample is None or not dim or len(sample) < DIRECTIONS:
+    if not dim:
+        return axes
+    axes[np.arange(DIRECTIONS), np.arange(DIRECTIONS) % dim] = 1.0
+    if sample is None or len(sample) < DIRECTIONS:
         return axes
     unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
     centres = unit[np.linspace(0, len(unit) - 1, DIRECTIONS).astype(int)].copy()
