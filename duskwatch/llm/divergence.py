@@ -14,7 +14,7 @@ TERM_BYTES = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90
 PARTS = 1_000_000_000
 #: What a task holds before it hands on: entries of counters, bytes of the texts they come from.
 HELD_ENTRIES, HELD_BYTES = 300_000, 128_000_000
-#: Nodes of one tree. A larger table of rows makes several trees; their sums add up.
+#: Entries of the rows of one tree. A larger table of rows makes several trees; their sums add up.
 TREE_NODES = 400_000
 
 
@@ -25,23 +25,23 @@ def _count_terms(batches):
     """Occurrences and documents of each term per group; a row with a null term names a group that occurs."""
     from collections import Counter
 
+    import numpy as np
     import pyarrow as pa
 
     groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     entries = size = 0
 
     def told():
-        keys, terms, counts, docs = [], [], [], []
-        for group, (n, d) in groups.items():
-            keys += [group] * (len(n) + 1)
+        sizes = [len(n) + 1 for n, _ in groups.values()]
+        group = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        terms, counts, docs = [], [], []
+        for n, d in groups.values():
             terms += [None, *n]
             counts += [0, *n.values()]
             docs += [0, *map(d.__getitem__, n)]
+        names = [pa.array([key[i] for key in groups], pa.string()).take(group) for i in range(2)]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(docs, pa.int64()),
-            ],
+            [*names, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(docs, pa.int64())],
             names=["lang", "source", "term", "n", "docs"],
         )
 
@@ -65,11 +65,14 @@ def _count_terms(batches):
 
 
 def term_counts(docs: DataFrame, lang: Column, source: Column, text: Column) -> DataFrame:
-    """(lang, source, term, n, docs): counted per task first, so a hot group is a few rows a task."""
+    """(lang, source, term, n, docs), each term's rows in one partition.
+
+    Counted per task first, so a hot group or term is a few rows a task.
+    """
     empty = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     narrow = docs.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).alias("text"))
     told = narrow.mapInArrow(_count_terms, "lang string, source string, term string, n bigint, docs bigint")
-    return told.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return told.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 # --- shares and their distance -------------------------------------------------------------------
@@ -92,86 +95,91 @@ class TermTree:
 
     Rows that begin alike share their nodes; ``many`` counts the rows through a node. A node and one of its
     ancestors stand for the same pair of shares in all those rows, so the pair is worked out once for them all.
+
+    ``sizes``: entries of each row; ``source`` and ``share``: the entries of all rows one after another; ``times``: how often
+    each row occurs; ``base``: each source's share of a term it does not use. Rows come in order, so that those
+    that begin alike follow each other; all of them are inserted at once.
     """
 
-    def __init__(self):
-        self.ids: dict[tuple[int, int, int], int] = {}
-        self.parent, self.source, self.share, self.many = [-1], [-1], [0], [0]
-        self.names: dict[str, int] = {}
-        self.base: list[int] = []  # share of a term that the source does not use
-
-    def insert(self, path: list[tuple[str, int, int]], many: int) -> None:
-        node = 0
-        for name, share, base in path:
-            source = self.names.setdefault(name, len(self.names))
-            if source == len(self.base):
-                self.base.append(base)
-            key = (node, source, share)
-            child = self.ids.get(key)
-            if child is None:
-                child = self.ids[key] = len(self.parent)
-                self.parent.append(node)
-                self.source.append(source)
-                self.share.append(share)
-                self.many.append(0)
-            self.many[child] += many
-            node = child
-
-    def corrections(self) -> list[tuple[str, str, int]]:
-        """(source, other, sum over the rows that hold both) of what their shares add to those of terms only one uses."""
+    def __init__(self, sizes, source, share, times, base):
         import numpy as np
 
-        if len(self.parent) < 3:
-            return []
-        parent, source, share, many = (np.array(x, dtype=np.int64) for x in (self.parent, self.source, self.share, self.many))
-        base = np.array(self.base, dtype=np.int64)
+        self.base = base
+        ends = np.cumsum(sizes)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        depth = np.arange(len(source)) - (ends - sizes)[row]
+        # The entry at the same depth of the row before, and the first depth where the two rows differ.
+        before = np.where(row > 0, (ends - sizes)[row - 1] + depth, 0)
+        same = (row > 0) & (depth < sizes[row - 1])
+        same &= (source == source[before]) & (share == share[before])
+        differ = np.minimum.reduceat(np.where(same, sizes[row], depth), ends - sizes) if len(sizes) else depth
+        new = depth >= differ[row]
+        # An entry that makes no node of its own goes through the last one made at its depth.
+        order = np.lexsort((row, depth))
+        made = np.maximum.accumulate(np.where(new[order], np.arange(len(order)), 0))
+        maker = np.empty(len(order), dtype=np.int64)
+        maker[order] = order[made]
+        number = np.cumsum(new)
+        node = number[maker]
+        at = np.flatnonzero(new)
+        self.parent = np.r_[-1, np.where(depth[at] > 0, node[at - 1], 0)]
+        self.source, self.share = np.r_[-1, source[at]], np.r_[0, share[at]]
+        self.many = np.zeros(len(at) + 1, dtype=np.int64)
+        np.add.at(self.many, node, times[row])
+
+    def corrections(self):
+        """(pairs as source * sources + other, sums): what rows that hold both add to those of terms only one uses."""
+        import numpy as np
+
+        base, width = self.base, len(self.base)
         f = lambda p, q: (p - q) * (p - q) // q
-        sums: dict[int, int] = {}
-        node = np.arange(1, len(parent))
-        above = parent[node]
-        while True:
-            inner = above > 0
+        pairs, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        node = np.arange(1, len(self.parent))
+        above = self.parent[node]
+        while (inner := above > 0).any():
             node, above = node[inner], above[inner]
-            if not len(node):
-                break
             for a, b in ((node, above), (above, node)):
-                p, q, p0, q0 = share[a], share[b], base[source[a]], base[source[b]]
-                value = many[node] * (f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0))
-                pairs, at = np.unique(source[a] * len(base) + source[b], return_inverse=True)
+                s, o, p, q = self.source[a], self.source[b], self.share[a], self.share[b]
+                p0, q0 = base[s], base[o]
+                value = self.many[node] * (f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0))
+                pairs, at = np.unique(np.r_[pairs, s * width + o], return_inverse=True)
                 total = np.zeros(len(pairs), dtype=np.int64)
-                np.add.at(total, at, value)
-                for pair, part in zip(pairs.tolist(), total.tolist(), strict=True):
-                    sums[pair] = sums.get(pair, 0) + part
-            above = parent[above]
-        names = list(self.names)
-        return [(names[pair // len(base)], names[pair % len(base)], value) for pair, value in sums.items()]
+                np.add.at(total, at, np.r_[sums, value])
+                sums = total
+            above = self.parent[above]
+        return pairs, sums
 
 
 def _tree_sums(batches):
     """Rows (lang, path, many) in order; a tree per language and run of rows."""
+    import numpy as np
     import pyarrow as pa
 
-    tree, current = TermTree(), None
-
-    def told():
-        found = tree.corrections()
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([current] * len(found), pa.string()), pa.array([s for s, _, _ in found], pa.string()),
-                pa.array([o for _, o, _ in found], pa.string()), pa.array([v for _, _, v in found], pa.int64()),
-            ],
-            names=["lang", "source", "item", "value"],
-        )
-
     for batch in batches:
-        for lang, path, many in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if lang != current or len(tree.parent) > TREE_NODES:
-                if current is not None:
-                    yield told()
-                tree, current = TermTree(), lang
-            tree.insert([(e["source"], e["p"], e["p0"]) for e in path], many)
-    if current is not None:
-        yield told()
+        langs = batch.column(0).to_pylist()
+        offsets = batch.column(1).offsets.to_numpy()
+        entries = batch.column(1).values
+        times = batch.column(2).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < len(langs):
+            end = start + 1
+            while end < len(langs) and langs[end] == langs[start] and offsets[end + 1] - offsets[start] <= TREE_NODES:
+                end += 1
+            lo, hi = int(offsets[start]), int(offsets[end])
+            named = entries.field("source").slice(lo, hi - lo).dictionary_encode()
+            source = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            share, own = (entries.field(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in ("p", "p0"))
+            base = np.zeros(len(named.dictionary), dtype=np.int64)
+            base[source] = own
+            pairs, sums = TermTree(np.diff(offsets[start : end + 1]).astype(np.int64), source, share, times[start:end], base).corrections()
+            name = lambda i: named.dictionary.take(pa.array(i))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([langs[start]] * len(pairs), pa.string()), name(pairs // max(len(base), 1)), name(pairs % max(len(base), 1)), pa.array(sums),
+                ],
+                names=["lang", "source", "item", "value"],
+            )
+            start = end
 
 
 def pair_values(used: DataFrame, groups: DataFrame) -> DataFrame:
@@ -223,11 +231,15 @@ def audit_sources(
     pair has value 0. Repeated rows are documents of their own. Equal values are ranked by item. An empty table gives no rows.
     """
     with scratch(docs.sparkSession) as keep:
-        counts = settled(term_counts(docs, F.col(lang), F.col(source), F.col(text)), "term-counts")
-        terms = counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"))
-        terms = settled(terms.filter(F.col("docs") >= least_docs).drop("docs"), "kept-terms")
-        kept = settled(counts.join(terms, ["lang", "term"]), "kept-counts")
-        langs = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all").alias("lang_total"))
+        of_term = Window.partitionBy("lang", "term")
+        counts = term_counts(docs, F.col(lang), F.col(source), F.col(text)).select(
+            "lang", "source", "term", "n", F.sum("n").over(of_term).alias("all"), F.sum("docs").over(of_term).alias("docs"),
+            (F.row_number().over(of_term.orderBy("source")) == 1).alias("first"),
+        )
+        # A row without a term says that its source occurs.
+        counts = settled(counts.filter((F.col("docs") >= least_docs) | F.col("term").isNull()).drop("docs"), "term-counts")
+        kept = counts.filter("term is not null")
+        langs = kept.groupBy("lang").agg(F.count_if("first").alias("terms"), F.sum("n").alias("lang_total"))
         totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         groups = counts.filter("term is null").select("lang", "source").join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
         size = F.col("total") + F.col("terms")

@@ -8,7 +8,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import pieces
+from duskwatch.llm.common import pieces, scratch, settled
+from duskwatch.llm.jaccard import small_side
 
 #: Bytes that stand for themselves: letters and all beyond ASCII; whatever else stands between them is one blank.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -177,14 +178,12 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", order: Column
     )
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     # Numbers are ranked without their texts; only the chosen texts, cut to what a sample takes, go on.
-    last = labelled.select("lang", "h").withColumn("n", place).filter(F.col("n") <= SAMPLE_DOCUMENTS)
-    last = last.groupBy("lang").agg(F.max("h").alias("last"))
     cut_text = F.substring("text", 1, 4 * SYMBOLS_OF_DOCUMENT)
-    chosen = labelled.join(last, "lang").filter("h <= last").select("lang", "h", cut_text.alias("text"))
-    chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= SAMPLE_DOCUMENTS)
-    texts: dict[str, list[str]] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.n)):
-        texts.setdefault(r.lang, []).append(r.text)
+    with scratch(rows.sparkSession):
+        numbers = labelled.select("lang", "h").withColumn("n", place).filter(F.col("n") <= SAMPLE_DOCUMENTS)
+        numbers = settled(numbers.select("lang", "h").distinct(), "sample-documents")
+        chosen = labelled.join(small_side(numbers), ["lang", "h"]).select("lang", "h", cut_text.alias("text"))
+        texts = _sample_texts(chosen)
     limit = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(len(texts), 1))
     samples = []
     for name, found in sorted(texts.items()):
@@ -198,6 +197,14 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", order: Column
     return Model(tuple(samples))
 
 
+def _sample_texts(chosen: DataFrame) -> dict[str, list[str]]:
+    chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= SAMPLE_DOCUMENTS)
+    texts: dict[str, list[str]] = {}
+    for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.n)):
+        texts.setdefault(r.lang, []).append(r.text)
+    return texts
+
+
 def identify_language(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: the language of its whole text, and how sure that is (0 to 1).
 

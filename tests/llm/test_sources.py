@@ -3,6 +3,7 @@
 import collections
 import re
 
+import numpy as np
 import pytest
 
 from duskwatch.llm.divergence import TermTree, audit_sources
@@ -70,15 +71,18 @@ def test_ties_and_letters(spark):
 
 
 def test_shared_paths_are_worked_out_once():
-    tree = TermTree()
-    for path, many in (([("a", 5, 1), ("b", 7, 2)], 3), ([("a", 5, 1), ("b", 7, 2), ("c", 9, 1)], 2), ([("a", 5, 1), ("c", 4, 1)], 1)):
-        tree.insert(path, many)
-    assert len(tree.parent) == 5 and tree.many[1:] == [6, 5, 2, 1]
+    rows = [(0, 5, 3), (1, 7, 3)], [(0, 5, 2), (1, 7, 2), (2, 9, 2)], [(0, 5, 1), (2, 4, 1)], [(1, 7, 1), (2, 4, 1)]
+    flat = lambda i: np.array([e[i] for r in rows for e in r])
+    tree = TermTree(np.array([len(r) for r in rows]), flat(0), flat(1), np.array([r[0][2] for r in rows]), np.array([1, 2, 1]))
+    assert tree.parent.tolist() == [-1, 0, 1, 2, 1, 0, 5] and tree.many.tolist() == [0, 6, 5, 2, 1, 1, 1]
     f = lambda p, q: (p - q) ** 2 // q
     g = lambda p, q, p0, q0: f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)
-    want = {("a", "b"): 5 * g(5, 7, 1, 2), ("b", "a"): 5 * g(7, 5, 2, 1), ("a", "c"): 2 * g(5, 9, 1, 1) + g(5, 4, 1, 1), ("b", "c"): 2 * g(7, 9, 2, 1)}
-    found = {(s, o): v for s, o, v in tree.corrections()}
-    assert {k: found[k] for k in want} == want
+    want = {
+        0 * 3 + 1: 5 * g(5, 7, 1, 2), 1 * 3 + 0: 5 * g(7, 5, 2, 1), 0 * 3 + 2: 2 * g(5, 9, 1, 1) + g(5, 4, 1, 1), 2 * 3 + 0: 2 * g(9, 5, 1, 1) + g(4, 5, 1, 1),
+        1 * 3 + 2: 2 * g(7, 9, 2, 1) + g(7, 4, 2, 1), 2 * 3 + 1: 2 * g(9, 7, 1, 2) + g(4, 7, 1, 2),
+    }
+    pairs, sums = tree.corrections()
+    assert dict(zip(pairs.tolist(), sums.tolist(), strict=True)) == want
 
 
 @pytest.mark.parametrize("nodes", [1, 4])
