@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from duskwatch.fixed import JS_EXTENSIONS
+from duskwatch.functions.binding import let
 from duskwatch.functions.text import any_true, js_trim
 
 # The import forms that count, as patterns.
@@ -55,12 +56,16 @@ def imports_of(text: Column, ext: Column) -> Column:
     )
 
 
-def gate_open(imports: Column, sdks: Column, gateable: Column) -> Column:
-    """No gate, no import parsing for the language, or an import of (a subpath of) an sdk."""
+def import_prefixes(imports: Column) -> Column:
+    """Every specifier and what stands before a slash in it: the packages an import is of, or of a subpath of."""
 
-    def satisfied(sdk: Column) -> Column:
-        return F.exists(
-            imports, lambda i: (i == sdk) | F.startswith(i, F.concat(sdk, F.lit("/")))
-        )
+    def prefixes(specifier: Column) -> Column:
+        parts = F.split(specifier, "/", -1)
+        return let(parts, lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda n: F.array_join(F.slice(p, 1, n), "/")))
 
-    return (F.size(sdks) == 0) | ~gateable | F.exists(sdks, satisfied)
+    return F.array_distinct(F.flatten(F.transform(imports, prefixes)))
+
+
+def gate_open(prefixes: Column, sdks: Column, gateable: Column) -> Column:
+    """No gate, no import parsing for the language, or an import of (a subpath of) an sdk, given :func:`import_prefixes`."""
+    return (F.size(sdks) == 0) | ~gateable | F.arrays_overlap(prefixes, sdks)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from duskwatch.fixed import DEPENDENCY_DIRS, SOURCE_EXTENSIONS, TEST_BASENAME, TEST_DIRS
+from duskwatch.functions.binding import let
+from duskwatch.functions.globs import any_glob_regex, compile_glob
 from duskwatch.functions.text import js_trim
 
 
@@ -43,101 +46,49 @@ def is_test_file(path: Column) -> Column:
 
 # --- globs -----------------------------------------------------------------------
 
-# The pieces of a glob, tried in this order: an escaped character, a run of any folders before a name, any
-# depth after a folder, any depth alone, the head of an extended group, a class, wild cards, one character.
-_AHEAD, _BEHIND = r"(?=[,})|]|\z)", r"(?:^|(?<=[/{,(|]))"
-_PIECE = "(?s)" + "|".join([
-    r"\\.", rf"{_BEHIND}(?:\*\*/)+", rf"/\*\*{_AHEAD}", rf"{_BEHIND}\*\*{_AHEAD}", r"[@!+*?]\(", r"\[(?:[!^][^\[\]/]+|[^!^\[\]/][^\[\]/]*)\]", r"\*+", ".",
-])
-_BAR = "\ue000"  # parts alternatives while it is not yet known whether their group closes
-_STATE = "struct<cur:string,open:array<struct<head:string,before:string>>>"
+GLOB_INDEX = "keys array<string>, rest array<struct<folder:string,regex:string>>"
 
 
-def _literal(text: Column) -> Column:
-    return F.regexp_replace(text, r"[.+^$()|\[\]{}\\*?]", r"\\$0")
+def glob_regex(glob: Column, dot: bool = True) -> Column:
+    """The regex of a column of globs, see :func:`duskwatch.functions.globs.compile_glob`."""
 
+    @F.pandas_udf("string")
+    def compiled(globs: pd.Series) -> pd.Series:
+        return globs.map(lambda g: None if g is None else compile_glob(g, dot))
 
-def _class(piece: Column) -> Column:
-    """A class; as literal characters where one of its ranges runs backwards."""
-    body = F.regexp_replace(piece, r"^\[[!^]?|\]$", "")
-    backwards = F.exists(
-        F.regexp_extract_all(body, F.lit("(?s).-."), F.lit(0)), lambda r: F.substring(r, 1, 1) > F.substring(r, 3, 1)
-    )
-    safe = F.regexp_replace(body, r"[\\&^~]", r"\\$0")
-    return F.when(backwards, _literal(piece)).otherwise(
-        F.concat(F.when(piece.rlike(r"^\[[!^]"), "[^/").otherwise("["), safe, F.lit("]"))
-    )
+    return compiled(glob)
 
 
-def _closed(head: Column, inside: Column, closing: str) -> Column:
-    """A group that ends here, as an expression; what is no group after all stays as it was written."""
-    plain = F.replace(inside, F.lit(_BAR), F.lit("," if closing == "}" else r"\|"))
-    choice = F.concat(F.lit("(?:"), F.replace(inside, F.lit(_BAR), F.lit("|")), F.lit(")"))
-    if closing == ")":
-        return (
-            F.when(head == "!(", F.concat(F.lit("(?!"), choice, F.lit(r"(?:[./]|\z))[^/]*")))
-            .when(head == "@(", choice).otherwise(F.concat(choice, F.substring(head, 1, 1)))
-        )
-    ends = F.regexp_extract_all(inside, F.lit(r"-?\d{1,9}"), F.lit(0)).cast("array<int>")
-    numbers = inside.rlike(r"^-?\d{1,9}\\\.\\\.-?\d{1,9}$")
-    run = F.when(numbers & (F.abs(F.get(ends, 0) - F.get(ends, 1)) < 10_000), F.sequence(F.get(ends, 0), F.get(ends, 1)))
-    return (
-        F.when(F.contains(inside, F.lit(_BAR)), choice)
-        .when(run.isNotNull(), F.concat(F.lit("(?:"), F.array_join(run.cast("array<string>"), "|"), F.lit(")")))
-        .otherwise(F.concat(F.lit(r"\{"), plain, F.lit(r"\}")))
-    )
+def path_keys(path: Column) -> Column:
+    """What an index of globs is asked for a path: itself, the folders above it, its names and how they end."""
+    named = lambda kind: lambda text: F.concat(F.lit(f"{kind}:"), text)
 
+    def ends(name: Column) -> Column:
+        parts = F.split(name, r"\.", -1)
+        count = F.size(parts) - 1
+        end = lambda i: F.concat(F.lit("."), F.array_join(F.slice(parts, i + 1, count), "."))
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), end)).otherwise(F.array().cast("array<string>"))
 
-def glob_regex(glob: Column, dot: bool = True) -> Column:
-    """The regex a whole path must match. Without ``dot`` wild cards skip hidden names.
-
-    ``*``, ``?``, ``**``, classes, nested ``{a,b}`` and ``{1..3}``, and the groups ``@( )``, ``!( )``, ``+( )``, ``*( )`` and
-    ``?( )``. The regex is put together piece by piece and always compiles: what does not parse (a class that runs
-    backwards, a bracket that never closes) stands for its own characters.
-    """
-    hidden = "" if dot else r"(?!\.)"
-    below = ".*" if dot else r"(?:(?!\.)[^/]+(?:/(?!\.)[^/]+)*)?"
-    folders = "(?:.*/)?" if dot else r"(?:(?!\.)[^/]+/)*"
-
-    def step(state: Column, piece: Column) -> Column:
-        cur, open_ = state["cur"], state["open"]
-        last = F.try_element_at(open_, F.lit(-1))
-        depth = F.size(open_)
-        in_brace, in_group = last["head"] == "{", F.coalesce(F.endswith(last["head"], F.lit("(")), F.lit(False))
-        in_brace = F.coalesce(in_brace, F.lit(False))
-        starts = cur.rlike(f"(?:^|/|{_BAR})\\z") & ((cur != "") | (depth == 0) | last["before"].rlike(r"(?:^|/)\z"))
-        guard = F.when(starts, hidden).otherwise("") if hidden else F.lit("")
-        add = lambda text: F.struct(F.concat(cur, text).alias("cur"), open_.alias("open"))
-        push = F.struct(F.lit("").alias("cur"), F.array_append(open_, F.struct(piece.alias("head"), cur.alias("before"))).alias("open"))
-        rest = F.slice(open_, 1, F.greatest(depth - 1, F.lit(0)))
-        pop = lambda closing: F.struct(F.concat(last["before"], _closed(last["head"], cur, closing)).alias("cur"), rest.alias("open"))
-        return (
-            F.when(piece.rlike(r"(?s)^\\.$"), add(_literal(F.substring(piece, 2, 1))))
-            .when(piece.rlike(r"^(?:\*\*/)+$"), add(F.lit(folders)))
-            .when(piece == "/**", add(F.lit(f"(?:/{below})?")))
-            .when((piece == "**") & starts, add(F.lit(below)))
-            .when((piece == "{") | piece.rlike(r"^[@!+*?]\($"), push)
-            .when((piece == "}") & in_brace, pop("}"))
-            .when((piece == ")") & in_group, pop(")"))
-            .when(((piece == ",") & in_brace) | ((piece == "|") & in_group), add(F.lit(_BAR)))
-            .when(piece.rlike(r"^\*+$"), add(F.concat(guard, F.lit("[^/]*"))))
-            .when(piece == "?", add(F.concat(guard, F.lit("[^/]"))))
-            .when(piece.rlike(r"(?s)^\[.+\]$"), add(F.concat(guard, _class(piece))))
-            .otherwise(add(_literal(piece)))
+    def keys(names: Column) -> Column:
+        depth = F.size(names) - 1
+        folders = F.transform(
+            F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(names, 1, i), "/"))
+        )
+        last = F.element_at(names, -1)
+        return F.concat(
+            F.array(named("=")(path), named("b")(last)), F.when(depth > 0, folders).otherwise(F.array().cast("array<string>")),
+            F.transform(names, named("n")), F.transform(ends(last), named("e")),
+            F.transform(F.flatten(F.transform(names, ends)), named("x")),
         )
 
-    def finish(state: Column) -> Column:
-        # Groups that never closed: their heads and separators are characters like others.
-        open_ = state["open"]
-        bar = lambda i: F.when(F.endswith(F.get(open_, i)["head"], F.lit("(")), F.lit(r"\|")).otherwise(",")
-        heads = F.transform(open_, lambda o, i: F.concat(F.replace(o["before"], F.lit(_BAR), bar(i - 1)), _literal(o["head"])))
-        return F.concat(F.array_join(heads, ""), F.replace(state["cur"], F.lit(_BAR), bar(F.size(open_) - 1)))
+    return let(F.split(path, "/", -1), keys)
 
-    pieces = F.regexp_extract_all(glob, F.lit(_PIECE), F.lit(0))
-    start = F.struct(F.lit("").alias("cur"), F.array().cast("array<struct<head:string,before:string>>").alias("open"))
-    body = F.aggregate(pieces, start.cast(_STATE), lambda s, p: step(s, p).cast(_STATE), finish)
-    whole = F.concat(F.lit("^"), body, F.lit(r"\z"))
-    return F.regexp_replace(whole, r"^\^\(\?:\.\*/\)\?", r"(?:^|/)") if dot else whole
+
+def in_glob_index(path: Column, keys: Column, rest: Column) -> Column:
+    """Whether a path matches one of the globs of an index: by equality of keys; else by a regex, where the folders before it agree."""
+    return F.arrays_overlap(path_keys(path), keys) | F.exists(
+        rest, lambda r: F.startswith(path, r["folder"]) & F.rlike(path, r["regex"])
+    )
 
 
 def ignore_line_globs(line: Column) -> Column:
@@ -156,14 +107,11 @@ def ignore_line_globs(line: Column) -> Column:
     )
 
 
-def ignore_file_regex(content: Column) -> Column:
-    """A whole ignore file as one regex, null when no line of it names a glob."""
-    globs = F.flatten(F.transform(F.split(content, r"\r?\n"), ignore_line_globs))
-    return F.nullif(F.array_join(F.transform(globs, lambda g: glob_regex(g)), "|"), F.lit(""))
+def ignore_file_globs(content: Column) -> Column:
+    """The globs of a whole ignore file."""
+    return F.flatten(F.transform(F.split(content, r"\r?\n"), ignore_line_globs))
 
 
 def matches_any_glob(path: Column, globs) -> Column:
-    """True where ``path`` matches one of the caller's globs."""
-    if not globs:
-        return F.lit(False)
-    return F.rlike(path, F.concat_ws("|", *[glob_regex(F.lit(glob)) for glob in globs]))
+    """True where ``path`` matches one of the caller's globs, compiled here and now to one constant."""
+    return F.rlike(path, F.lit(any_glob_regex(globs))) if globs else F.lit(False)

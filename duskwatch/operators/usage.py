@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.fixed import SUPPRESS_TOKEN
-from duskwatch.functions.imports import gate_open, imports_of, is_gateable
+from duskwatch.functions.imports import gate_open, import_prefixes, imports_of, is_gateable
 from duskwatch.functions.paths import extension
 from duskwatch.functions.text import (
     blank_comments_by_extension,
@@ -50,21 +50,23 @@ def prepare_sources(
         imports = imports_of(F.col("text"), F.col("ext"))
     if gateable is None:
         gateable = is_gateable(F.col("ext"))
-    return text.withColumns({"imports": imports, "gateable": gateable})
+    return text.withColumns({"imports": import_prefixes(imports) if rules.gated else imports, "gateable": gateable})
 
 
 def match_prepared(prepared: DataFrame, rules: RuleSet, cap: int | None = None) -> DataFrame:
     """``hits(repo, id, file, kind, regex_ord, line, text, mention)``.
 
-    A broadcast hash join on the language scope meets files with rules; a substring test inside
-    the join drops pairs that cannot match before any regex runs. Texts are never shuffled. A
+    A broadcast hash join meets files with rules: by the language scope and by three characters of a literal that the
+    rule needs, which every text is searched for once, however many rules there are. Pairs that
+    meet must hold the whole literal before any regex runs. Texts are never shuffled. A
     closed import gate stops an entry's patterns and turns its model ids into mentions. Every line
     counts; ``cap`` limits the lines recorded per regex and file for those who want that.
     """
+    keyed = prepared.withColumn("piece", F.explode(rules.pieces_of(F.col("text"))))
 
     def run(pack: DataFrame) -> DataFrame:
         possible = F.col("required").isNull() | F.contains(F.col("text"), F.col("required"))
-        pairs = prepared.join(F.broadcast(pack), "scope").filter(possible)
+        pairs = keyed.join(F.broadcast(pack), ["scope", "piece"]).filter(possible)
         opened = pairs.withColumn(
             "opened", gate_open(F.col("imports"), F.col("sdk_gate"), F.col("gateable"))
         ).filter("opened or kind = 'model'")

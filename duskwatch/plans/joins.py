@@ -22,6 +22,11 @@ def fits_broadcast(
     return rows <= max_rows and size <= max_bytes
 
 
+def as_constants(df: DataFrame) -> DataFrame:
+    """A table that :func:`fits_broadcast` as constants of the plan: what made it is not planned or run again."""
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, on: list[str], how: str, spread: list[str],
     salts: int = SALTS,

@@ -6,6 +6,7 @@ import os
 import stat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from duskwatch.fixed import (
     WORKFLOW_DIR,
 )
 from duskwatch.functions import paths
+from duskwatch.functions.globs import index_globs
 from duskwatch.plans.joins import fits_broadcast, salted_join
 
 # --- SRC-4: reading --------------------------------------------------------------------
@@ -158,12 +160,26 @@ def select_sources(
 # --- SRC-6, JOIN-6: each repository's own ignore file --------------------------------------
 
 
+def indexed_globs(rows: DataFrame, key: str, globs: str, dot: bool = True) -> DataFrame:
+    """``(key, keys, rest)``: the array of globs of each row as an index; a glob is compiled once per worker."""
+
+    def run(batches):
+        for batch in batches:
+            found = [index_globs(g, dot) for g in batch.column(1).to_pylist()]
+            rest = [[{"folder": f, "regex": r} for f, r in rest] for _, rest in found]
+            kind = pa.list_(pa.struct([("folder", pa.string()), ("regex", pa.string())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([keys for keys, _ in found], pa.list_(pa.string())), pa.array(rest, kind)], names=[key, "keys", "rest"]
+            )
+
+    return rows.select(key, globs).mapInArrow(run, f"{key} string, {paths.GLOB_INDEX}")
+
+
 def ignore_rules(files: DataFrame) -> DataFrame:
-    """``(repo, ignore_regex)`` for repositories whose ignore file names at least one glob."""
+    """``(repo, keys, rest)``: an index over the globs of each repository's ignore file, where it names any."""
     found = of_kind(files, "ignore").filter(F.col("path") == IGNORE_FILE)
-    return found.select(
-        "repo", paths.ignore_file_regex(F.col("content")).alias("ignore_regex")
-    ).filter("ignore_regex is not null")
+    globs = found.select("repo", paths.ignore_file_globs(F.col("content")).alias("globs")).filter(F.size("globs") > 0)
+    return indexed_globs(globs, "repo", "globs")
 
 
 def drop_ignored(rows: DataFrame, rules: DataFrame, path: str = "path", small: bool = False) -> DataFrame:
@@ -172,8 +188,8 @@ def drop_ignored(rows: DataFrame, rules: DataFrame, path: str = "path", small: b
         joined = rows.join(F.broadcast(rules), "repo", "left")
     else:
         joined = salted_join(rows, rules, ["repo"], "left", spread=[path])
-    kept = F.col("ignore_regex").isNull() | ~F.rlike(F.col(path), F.col("ignore_regex"))
-    return joined.filter(kept).drop("ignore_regex")
+    ignored = paths.in_glob_index(F.col(path), F.col("keys"), F.col("rest"))
+    return joined.filter(F.col("keys").isNull() | ~ignored).drop("keys", "rest")
 
 
 __all__ = [
