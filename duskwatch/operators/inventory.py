@@ -23,6 +23,70 @@ def latest_inventory(inventory: DataFrame, reports: DataFrame) -> DataFrame:
     return inventory.join(newest, ["repo", "report_id"], "left_semi")  # a report is no hot key
 
 
+def latest_findings(findings: DataFrame, reports: DataFrame) -> DataFrame:
+    """Findings of each repository's newest report."""
+    return latest_inventory(findings, reports)
+
+
+# --- kept up to date, report by report --------------------------------------------------------
+
+
+def _renewed(before: DataFrame, newest: DataFrame) -> DataFrame:
+    """Repositories whose newest report is newer than the one known, with the packages of both."""
+    old = before.select("repo", F.struct("reported_at", "report_id").alias("old"), F.col("packages").alias("held"))
+    none = F.array().cast(newest.schema["packages"].dataType)
+    joined = newest.join(old, "repo", "left").withColumn("held", F.coalesce("held", none))
+    return joined.filter(F.col("old").isNull() | (F.struct("reported_at", "report_id") > F.col("old")))
+
+
+def package_changes(before: DataFrame, newest: DataFrame) -> DataFrame:
+    """What a repository's newer report adds and removes: rows (repo, report, manifest, name, version, change)."""
+    changed = _renewed(before, newest)
+    part = lambda of, other, name: changed.select(
+        "repo", "report_id", "reported_at", F.explode(F.array_except(of, other)).alias("p"), F.lit(name).alias("change")
+    )
+    both = part("packages", "held", "added").unionByName(part("held", "packages", "removed"))
+    return both.select("repo", "report_id", "reported_at", "p.manifest", "p.name", "p.version", "change")
+
+
+def package_rows(before: DataFrame, newest: DataFrame) -> DataFrame:
+    """Rows for the state by package: all that a newer report declares, and what it does not declare any more."""
+    key = lambda packages: F.transform(
+        packages, lambda p: F.struct(normalize_name(p["name"]).alias("norm"), p["manifest"].alias("manifest"))
+    )
+    changed = _renewed(before, newest).withColumn("now", key(F.col("packages"))).withColumn("then", key(F.col("held")))
+    part = lambda of, present: changed.select(
+        "repo", "report_id", "reported_at", F.explode(of).alias("k"), F.lit(present).alias("present")
+    )
+    rows = part(F.array_distinct("now"), True).unionByName(part(F.array_except("then", "now"), False))
+    return rows.select("k.norm", "k.manifest", "repo", "present", "reported_at", "report_id").filter("norm is not null")
+
+
+def current_inventory(spark, root: str) -> DataFrame:
+    """Every repository's latest inventory as it is kept, without a look at the log of reports."""
+    from duskwatch.streaming.state import latest_per_repo
+
+    return latest_per_repo(spark, root).read().select("repo", "report_id", "reported_at", F.inline("packages"))
+
+
+def inventory_of_packages(spark, root: str, names: DataFrame) -> DataFrame:
+    """The latest declarations of the packages ``names(norm)``: rows (repo, manifest, name).
+
+    Reads the buckets of these packages, then those of the repositories found, whose newest
+    report decides; not the inventories of the fleet.
+    """
+    from duskwatch.streaming.state import latest_per_repo, repos_per_package
+
+    found = repos_per_package(spark, root).read(names).join(names.distinct(), "norm").filter("present").select("repo").distinct()
+    found = found.persist()
+    try:
+        held = latest_per_repo(spark, root).read(found)
+    finally:
+        found.unpersist()
+    rows = held.select("repo", F.inline("packages")).withColumn("norm", normalize_name(F.col("name")))
+    return salted_join(rows, names.distinct(), ["norm"], "left_semi", spread=["repo"]).select("repo", "manifest", "name")
+
+
 def new_entries(registry: DataFrame, seen: DataFrame) -> DataFrame:
     """Entries whose id nobody saw before; an edit to a known id is nothing new."""
     return registry.join(seen.select("id"), "id", "left_anti")

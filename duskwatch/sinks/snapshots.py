@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,23 +35,47 @@ def write_snapshot(
 ) -> dict:
     """Store the raw entries of ``candidate(entry variant, entry_ord)`` as the next version.
 
-    Without one valid entry nothing is written. The meta row comes last, so a reader never meets
-    a half-written version.
+    Without one valid entry nothing is written. The entries go into a folder of their own, then the number is
+    claimed by a file that only one writer can make, and the meta row comes last: a reader never meets
+    a half-written version, and of two writers at once each gets a version.
     """
     valid = validate_entries(candidate).count()
     if valid == 0:
         raise RegistryError(f"the registry at {url} contains no valid entries")
+    path = f"{root}/entries/{uuid4().hex}"
+    candidate.select(F.to_json("entry").alias("text"), "entry_ord").write.parquet(path)
     before = newest_snapshot(spark, root)
     version = before["version"] + 1 if before else 1
-    path = f"{root}/entries/version={version}"
-    candidate.select(F.to_json("entry").alias("text"), "entry_ord").write.mode(
-        "overwrite"
-    ).parquet(path)
+    while not _claimed(spark, f"{root}/claims", version):
+        version += 1
     row = (version, path, url, valid, fetched_at)
     spark.createDataFrame([row], META).coalesce(1).write.mode("append").parquet(f"{root}/meta")
     return dict(zip(("version", "path", "url", "entries", "fetched_at"), row))
 
 
+def _claimed(spark: SparkSession, folder: str, version: int) -> bool:
+    """Whether this writer is the one who made the file that stands for a version."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(f"{folder}/{version}")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.Path(folder))
+    if files.getUri().getScheme() == "file":  # where Hadoop's own check and creation are two steps
+        try:
+            os.close(os.open(where.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            return True
+        except FileExistsError:
+            return False
+    if files.exists(where):
+        return False
+    try:
+        files.create(where, False).close()
+        return True
+    except Exception:
+        if files.exists(where):
+            return False
+        raise
+
+
 def refresh(
     spark: SparkSession, root: str, source: str, now: dt.datetime, ttl_seconds: int | None = None
 ) -> dict:
@@ -70,7 +96,8 @@ def refresh(
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int) -> DataFrame:
-    stored = spark.read.parquet(f"{root}/entries/version={version}")
+    row = _meta(spark, root).filter(F.col("version") == version).first()
+    stored = spark.read.parquet(row["path"])
     return validate_entries(
         stored.select(F.parse_json("text").alias("entry"), F.col("entry_ord").cast("bigint"))
     )

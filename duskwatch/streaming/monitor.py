@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from duskwatch.operators.findings import with_urgency
-from duskwatch.operators.inventory import latest_inventory, notifications
-from duskwatch.sinks.reports import Batch, append_first, append_reports, current, read_table, write_batch
+from duskwatch.operators.dependencies import registry_packages
+from duskwatch.operators.inventory import affected_repos, inventory_of_packages, new_entries
+from duskwatch.sinks.reports import Batch, append_first, append_reports, current, write_batch
+from duskwatch.streaming.state import seen_entries, sent_notifications
 
 #: Work off what is there, then stop. ``{"processingTime": "1 minute"}`` goes on for ever.
 ONCE = {"availableNow": True}
@@ -35,21 +37,27 @@ def notify_batch(spark: SparkSession, entries: DataFrame, root: str, batch: Batc
     """Handle one delivery of registry entries.
 
     The first delivery ever only marks its entries as seen. Later ones notify every repository
-    whose latest inventory holds a package of a new entry, once per repository and entry. State
-    is read from what other deliveries wrote, of any stream, and written to this one's own folders: a
-    retry after a lost driver repeats the same result, and a new checkpoint does not seed again.
+    whose latest inventory holds a package of a new entry, once per repository and entry. What was seen and
+    sent, and who holds a package, is state in buckets: of it the batch reads what its own keys need, however
+    long the history. It is written last and with its batch: a retry after a lost driver repeats the
+    same result, and a new checkpoint does not seed again.
     """
-    seen = read_table(spark, root, "seen", ahead_of=batch).select("id").distinct()
-    sent = read_table(spark, root, "notifications", ahead_of=batch)
-    first_run = seen.isEmpty()
+    seen, sent = seen_entries(spark, root), sent_notifications(spark, root)
+    first_run = not seen.runs(ahead_of=batch)
+    ids = entries.select("id").distinct()
+    known = seen.read(ids, ahead_of=batch)
     if not first_run:
-        inventory = latest_inventory(
-            read_table(spark, root, "inventory"), read_table(spark, root, "reports")
-        )
-        due = notifications(entries, seen, inventory, sent)
-        write_batch(due, root, "notifications", batch)
-    fresh = entries.select("id").distinct().join(seen, "id", "left_anti")
-    write_batch(fresh, root, "seen", batch)
+        names = registry_packages(new_entries(entries, known)).select("norm").distinct()
+        inventory = inventory_of_packages(spark, root, names)
+        pairs = affected_repos(new_entries(entries, known), inventory).persist()
+        try:
+            due = pairs.join(sent.read(pairs, ahead_of=batch), ["repo", "id"], "left_anti")
+            write_batch(due, root, "notifications", batch)
+            sent.write(due, batch)
+        finally:
+            pairs.unpersist()
+    write_batch(ids.join(known, "id", "left_anti"), root, "seen", batch)
+    seen.write(ids, batch)
 
 
 def notify_new_entries(entries: DataFrame, root: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
