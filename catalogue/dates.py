@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalogue.views import spread_table, table, with_ctes
 from duskwatch.functions import lifecycle, phrases
 from duskwatch.operators.findings import effective_severity, rank_findings, with_urgency
 from duskwatch.operators.inventory import sunset_calendar, sunset_rollup
+from duskwatch.operators.replay import change_points, daily_changes, gate_series, read_changes, state_on, write_changes
+from duskwatch.session import shared_folder
 from duskwatch.streaming.monitor import replay_gate
 
 NOW = "1998-01-01"
@@ -87,6 +91,37 @@ SELECT as_of, count(*) FILTER (""" + _TRIPS.format(high="effective_status <> 're
   count(*) FILTER (effective_status = 'retired') AS retired FROM seen GROUP BY as_of"""
 
 
+def _stored_changes(spark, folder):
+    path = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    write_changes(change_points(_facts(spark, folder).withColumn("finding", F.col("o_orderkey"))), path)
+    return path
+
+
+def gate_by_changes(spark, folder):
+    """The same three days from stored change points: each finding's last one up to the day."""
+    path, days = _stored_changes(spark, folder), ["1997-06-01", NOW, "1998-03-15"]
+    seen = [state_on(read_changes(spark, path, upto=d), d, ["finding"]).withColumn("as_of", F.lit(d).cast("date")) for d in days]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2]).groupBy("as_of").agg(
+        F.count_if("trips_gate").alias("tripped"), F.count_if(F.col("effective_status") == "retired").alias("retired")
+    )
+
+
+def gate_daily(spark, folder):
+    """Two years day by day: running sums over what changes on each day."""
+    daily = daily_changes(read_changes(spark, _stored_changes(spark, folder)))
+    days = spark.range(731).select(F.date_add(F.lit("1996-12-01").cast("date"), F.col("id").cast("int")).alias("as_of"))
+    return gate_series(daily, days)
+
+
+_DAILY_SQL = """
+days AS (SELECT CAST(unnest(generate_series(DATE '1996-12-01', DATE '1996-12-01' + 730, INTERVAL 1 DAY)) AS DATE) AS as_of),
+seen AS (SELECT * EXCLUDE (days_until, effective_status), CAST(day - as_of AS INTEGER) AS days_until,
+  coalesce(status, CASE WHEN day IS NULL THEN 'deprecated' WHEN day < as_of THEN 'retired' ELSE 'scheduled' END) AS effective_status
+  FROM urgent CROSS JOIN days)
+SELECT as_of, count(*) FILTER (""" + _TRIPS.format(high="effective_status <> 'retired'", within=30) + """) AS tripped,
+  count(*) FILTER (effective_status = 'retired') AS retired, count(*) FILTER (effective_status = 'scheduled') AS scheduled FROM seen GROUP BY as_of"""
+
+
 def finding_order(spark, folder):
     """One finding per customer and (severity, sunset month), as a registry would bound it."""
     level = effective_severity(F.col("severity"), F.col("test_only"), F.col("mention_only"))
@@ -196,6 +231,8 @@ SELECT repo, count(*) FILTER (t) AS tripped, count(*) FILTER (strict) AS tripped
   max(CAST(t AS INTEGER)) AS verdict FROM trips GROUP BY repo"""),
     ),
     "gate_replay": (gate_replay, with_ctes(_FACTS, _REPLAY_SQL)),
+    "gate_by_changes": (gate_by_changes, with_ctes(_FACTS, _REPLAY_SQL)),
+    "gate_daily": (gate_daily, with_ctes(_FACTS, _DAILY_SQL)),
     "finding_order": (finding_order, with_ctes(_FACTS, _ORDER_SQL)),
     "status_phrase": (status_phrases, with_ctes(_FACTS, _PHRASE_SQL)),
     "freshness": (freshness, _FRESH_SQL),

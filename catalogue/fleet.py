@@ -14,7 +14,7 @@ from duskwatch.operators.coverage import coverage_audit, lacking_scan
 from duskwatch.operators.inventory import latest_inventory, notifications
 from duskwatch.session import shared_folder
 from duskwatch.sinks.snapshots import newest_snapshot, read_snapshot, write_snapshot
-from duskwatch.sources.registry import validate_entries
+from duskwatch.sources.registry import load_registry, read_entries, validate_entries
 
 # --- orders as reports, their line items as the reported inventory --------------------------------
 
@@ -159,6 +159,40 @@ def registry_snapshot(spark, folder):
     )
 
 
+def _registry_file(spark, folder, wrapped: bool) -> str:
+    """The registry made from parts as one JSON document, as an object or as a bare array."""
+    entries = _raw_registry(spark, folder).filter("entry is not null").select(F.to_json("entry").alias("text"), "entry_ord")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_ord", "text"))), lambda e: e["text"]), ",\n")
+    shape = [F.lit('{"deprecations": ['), listed, F.lit("]}")] if wrapped else [F.lit("["), listed, F.lit("]")]
+    path = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    entries.agg(F.concat(*shape).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+def registry_read(spark, folder):
+    """Entries of a document in both of its shapes, by their places."""
+    parts = [
+        validate_entries(read_entries(spark, _registry_file(spark, folder, wrapped))).select(F.lit(name).alias("shape"), "id", "severity", "entry_ord")
+        for name, wrapped in (("object", True), ("array", False))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def registry_resolve(spark, folder):
+    """Which registry a run takes: the caller's file, else the newest snapshot, else the bundled one."""
+    root, file = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}", _registry_file(spark, folder, True)
+    before = load_registry(spark, snapshots=root)
+    write_snapshot(spark, root, _raw_registry(spark, folder).filter("try_variant_get(entry, '$.severity', 'string') = 'low'"), "parts", dt.datetime(2026, 6, 1))
+    loaded = {"none": before, "snapshot": load_registry(spark, snapshots=root), "file": load_registry(spark, custom=file, snapshots=root)}
+    rows = None
+    for given, registry in loaded.items():
+        found = registry.entries.select(F.lit(given).alias("given"), F.lit(registry.origin).alias("origin"), "id").filter(F.lit(given != "none"))
+        mark = spark.createDataFrame([(given, registry.origin, None)], "given string, origin string, id string")
+        part = mark if given == "none" else found
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 def registry_load(spark, folder):
     return validate_entries(_raw_registry(spark, folder)).select(
         "id", "vendor", "severity", "match", F.size("detect.sdk").alias("n_sdk"), "entry_ord"
@@ -181,6 +215,17 @@ QUERIES = {
         registry_load,
         with_ctes(_REGISTRY, """SELECT id, vendor, severity, match,
   CAST(CASE WHEN sdk = '' THEN 0 ELSE 1 END AS INTEGER) AS n_sdk, entry_ord FROM checked WHERE valid"""),
+    ),
+    "registry_read": (
+        registry_read,
+        with_ctes(_REGISTRY, """placed AS (SELECT *, row_number() OVER (ORDER BY entry_ord) - 1 AS place FROM checked)
+SELECT shape, id, severity, place AS entry_ord FROM placed CROSS JOIN (VALUES ('object'), ('array')) s(shape) WHERE valid"""),
+    ),
+    "registry_resolve": (
+        registry_resolve,
+        with_ctes(_REGISTRY, """SELECT 'none' AS given, 'bundled' AS origin, NULL AS id
+UNION ALL SELECT 'snapshot', 'cache', id FROM checked WHERE valid AND severity = 'low'
+UNION ALL SELECT 'file', 'custom', id FROM checked WHERE valid"""),
     ),
     "registry_snapshot": (
         registry_snapshot,

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from catalogue.views import spread_table, sql_text, table, with_ctes
 from duskwatch import registry_from_rows
 from duskwatch.functions.versions import normalize_name, version_in_range, version_numbers
-from duskwatch.operators.audit import registry_audit
-from duskwatch.operators.dependencies import match_dependencies
+from duskwatch.operators.audit import pattern_audit, registry_audit, unusable_patterns
+from duskwatch.operators.dependencies import match_dependencies, versions_in_ranges
 from duskwatch.sources.manifests import (
     dependencies,
     go_mod_dependencies,
@@ -117,6 +117,19 @@ SELECT p_partkey, range, CAST(nullif(digits, '') AS BIGINT) AS major,
     ELSE {_padded('declared')} = {_padded('range')} END AS holds FROM read"""
 
 
+def version_join(spark, folder):
+    """Brands as packages, each with its parts' versions and every range: an interval join by name and leading number."""
+    declared = spread_table(spark, folder, "part", "p_partkey", "p_size", "p_brand").selectExpr(
+        "lower(p_brand) as norm", f"{_DECLARED} as version"
+    )
+    ranges = declared.select("norm").distinct().select("norm", F.explode(F.array(*[F.lit(r) for r in RANGES])).alias("range"))
+    return versions_in_ranges(declared, ranges)
+
+
+_VERSION_JOIN_SQL = f"""SELECT DISTINCT lower(p_brand) AS norm, declared AS version, range FROM (
+{_RANGE_SQL.replace("SELECT p_partkey, range, CAST", "SELECT p_partkey, declared, range, CAST")}) h JOIN part USING (p_partkey) WHERE holds"""
+
+
 # --- part × registry: dependency matching ---------------------------------------------------------
 
 # id, match, applies_to, sdk, version_range
@@ -263,6 +276,43 @@ def registry_validate(spark, folder):
     )
 
 
+# Patterns that do not parse, or that a long text could make exhaust the stack, among ones that are fine.
+_PATTERNS = {
+    r"\bold_{0}\(": True, r"(old_{0}": False, r"(?:a|b|\s)+old_{0}": True, r"(?:ab|ac)+old_{0}": False, r"old_{0}[z-a]": False,
+    r"a**{0}": False, r"(?:\.\w+)*\(old_{0}": True, r"(?:\w+,)*\w+{0}": False, r"[a-z]+{0}": True,
+}
+
+
+def _pattern_registry(spark, folder):
+    """An entry per part with two of the patterns; ids of parts that share a name and size are shared."""
+    shown = F.array(*[F.lit(p) for p in _PATTERNS])
+    pick = lambda n: F.replace(F.get(shown, (F.col("p_partkey") * n % len(_PATTERNS)).cast("int")), F.lit("{0}"), F.col("p_size").cast("string"))
+    entry = F.struct(
+        F.concat("p_name", F.lit("-"), F.col("p_size").cast("string")).alias("id"), F.col("p_brand").alias("vendor"), F.col("p_name").alias("title"),
+        F.lit("low").alias("severity"), F.struct(F.array(pick(1), pick(2)).alias("patterns"), F.array(F.lit("m(")).alias("models")).alias("detect"),
+    )
+    rows = table(spark, folder, "part").select("p_partkey", F.to_json(entry).alias("text"))
+    return entries_of_json(rows, "text", "p_partkey")
+
+
+def patterns_unusable(spark, folder):
+    return unusable_patterns(_pattern_registry(spark, folder)).select("entry_ord", "id", "kind", "source")
+
+
+def patterns_audit(spark, folder):
+    return pattern_audit(_pattern_registry(spark, folder))
+
+
+_PATTERN_CTES = """
+shown(n, shown, fine) AS (VALUES """ + ", ".join(f"({n}, {sql_text(p)}, {str(ok).lower()})" for n, (p, ok) in enumerate(_PATTERNS.items())) + f"""),
+bad AS (SELECT p_partkey AS entry_ord, concat(p_name, '-', p_size) AS id, 'pattern' AS kind, replace(shown, '{{0}}', CAST(p_size AS VARCHAR)) AS source
+  FROM part CROSS JOIN (VALUES (1), (2)) t(times) JOIN shown ON shown.n = p_partkey * times % {len(_PATTERNS)} WHERE NOT fine)
+"""
+_PATTERNS_AUDIT_SQL = """SELECT (SELECT count(*) FROM part) AS pattern_entries, (SELECT count(*) FROM bad) AS unusable_patterns,
+  (SELECT count(DISTINCT entry_ord) FROM bad) AS entries_affected,
+  (SELECT count(*) FROM (SELECT 1 FROM part GROUP BY p_name, p_size HAVING count(*) > 1)) AS shared_ids"""
+
+
 def audit(spark, folder):
     return registry_audit(_raw_registry(spark, folder), now="2026-06-06")
 
@@ -293,6 +343,9 @@ _AUDIT_SQL = """SELECT count(*) AS entries, CAST(0 AS BIGINT) AS duplicate_ids,
     ELSE 'deprecated' END) = 'deprecated') <> (sunset_date IS NULL)) AS status_date_mismatch FROM checked"""
 
 QUERIES = {
+    "version_join": (version_join, _VERSION_JOIN_SQL),
+    "patterns_unusable": (patterns_unusable, with_ctes(_PATTERN_CTES, "SELECT entry_ord, id, kind, source FROM bad")),
+    "patterns_audit": (patterns_audit, with_ctes(_PATTERN_CTES, _PATTERNS_AUDIT_SQL)),
     "props_map": (props_map, _PROPS_SQL),
     "requirement_parse": (requirement_parse, _REQUIREMENT_SQL),
     "go_mod_parse": (go_mod_parse, _GO_SQL),

@@ -11,7 +11,11 @@ from catalogue.views import table, with_ctes
 from duskwatch import registry_from_rows
 from duskwatch.plans.scan import scan
 from duskwatch.session import shared_folder
+from duskwatch.operators.inventory import latest_findings
+from duskwatch.sinks.reports import Batch, read_table, scan_rows, store_reports
+from duskwatch.sources.checkouts import scan_checkouts
 from duskwatch.sources.files import read_corpus, select_sources, write_corpus
+from duskwatch.sources.manifests import dependencies, read_manifests
 
 NOW = "2026-06-06"
 _OTHER_FILES = [
@@ -64,6 +68,78 @@ def scan_totals(spark, folder):
     return _scanned(spark, folder).summary.select("repo", "scanned_files", "manifests_scanned", "detected", "verdict")
 
 
+def scan_reported(spark, folder):
+    """A scan stored as the reports of its repositories; their findings and evidence read back from the report tables."""
+    root = f"{shared_folder(spark)}/reported-{uuid.uuid4().hex}"
+    store_reports(scan_rows(_scanned(spark, folder), f"{NOW} 12:00:00", "1"), root, Batch("scan", 0))
+    reports, key = read_table(spark, root, "reports"), ["repo", "report_id", "id"]
+    places = latest_findings(read_table(spark, root, "evidence"), reports).groupBy(*key).agg(F.count(F.lit(1)).alias("n_hits"))
+    found = latest_findings(read_table(spark, root, "findings"), reports).join(places, key, "left")
+    return found.join(reports.select("report_id", "detected"), "report_id").select(
+        "repo", "id", "severity", "status", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "detected"
+    )
+
+
+def registry_excluded(spark, folder):
+    """A custom registry that lies inside one repository is not scanned there, and nowhere else left out."""
+    chosen = select_sources(_files(spark, folder), registry_path=("c7", "src/app.js"))
+    return chosen.select("repo", "path")
+
+
+# --- checkouts on disk -----------------------------------------------------------------------------
+
+_ON_DISK = [
+    ("src/app.js", "case when s_acctbal > 0 then 'legacy.call(1);' else 'none();' end"), ("src/.hidden/b.js", "'hidden'"), ("README.md", "'read me'"),
+    (".git/config", "'[core]'"), (".git/objects/ab/x.js", "'never listed'"), ("node_modules/x/a.js", "'never listed'"),
+    ("vendor/y/package.json", "'{}'"), ("vendor/y/b.js", "'vendored'"), ("package.json", "concat('{\"dependencies\": {\"d', s_nationkey, '\": \"1\"}}')"),
+    (".github/workflows/ci.yml", "'run: duskwatch'"), ("lib/deep/er/c.py", "repeat('x', s_nationkey * 10)"),
+]
+
+
+def _checkouts(spark, folder):
+    """A folder of files for every supplier, written by the executors."""
+    import os
+
+    root = f"{shared_folder(spark)}/checkouts-{uuid.uuid4().hex}"
+    rows = table(spark, folder, "supplier").selectExpr("concat('s', s_suppkey) as repo", *[f"{c} as f{n}" for n, (_, c) in enumerate(_ON_DISK)])
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                for n, (path, _) in enumerate(_ON_DISK):
+                    file = os.path.join(root, row["repo"], path)
+                    os.makedirs(os.path.dirname(file), exist_ok=True)
+                    with open(file, "w") as out:
+                        out.write(row[f"f{n}"])
+            yield batch
+
+    rows.repartition(8).mapInArrow(write, rows.schema).count()
+    return root
+
+
+def checkouts_read(spark, folder):
+    """Files of checkouts, pruned while listed; on top a condition that the reader takes over."""
+    root = _checkouts(spark, folder)
+    usual = scan_checkouts(spark, root, partitions=64).select(F.lit("usual").alias("request"), "repo", "path", "content", "size")
+    few = scan_checkouts(spark, root, partitions=64).filter("path like 'lib/%' and size <= 100 and repo in ('s1', 's2', 's3')")
+    return usual.unionByName(few.select(F.lit("few").alias("request"), "repo", "path", "content", "size"))
+
+
+def checkouts_scanned(spark, folder):
+    """Dependencies declared in checkouts on disk: from files to inventory."""
+    found = dependencies(read_manifests(scan_checkouts(spark, _checkouts(spark, folder), partitions=64)))
+    return found.select("repo", "manifest", "name", "version")
+
+
+_LISTED_SQL = "WITH on_disk AS (" + "\nUNION ALL ".join(
+    f"SELECT concat('s', s_suppkey) AS repo, s_suppkey, '{path}' AS path, {content.replace(chr(92) + chr(34), chr(34))} AS content FROM supplier"
+    for path, content in _ON_DISK if path not in ("src/.hidden/b.js", ".git/objects/ab/x.js", "node_modules/x/a.js", "vendor/y/b.js")
+) + """)
+SELECT 'usual' AS request, repo, path, content, CAST(strlen(content) AS BIGINT) AS size FROM on_disk
+UNION ALL SELECT 'few', repo, path, content, CAST(strlen(content) AS BIGINT) FROM on_disk
+  WHERE path = 'lib/deep/er/c.py' AND strlen(content) <= 100 AND s_suppkey <= 3"""
+
+
 def stored_corpus(spark, folder):
     """Files chosen from a stored corpus, under requests that its partition of sources does and does not cover."""
     path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
@@ -105,4 +181,12 @@ QUERIES = {
   effective_severity, effective_status, trips_gate FROM whole""")),
     "scan_totals": (scan_totals, with_ctes(_MEMBERS, _FINDINGS, _TOTALS_SQL)),
     "stored_corpus": (stored_corpus, _STORED_SQL),
+    "scan_reported": (scan_reported, with_ctes(
+        _MEMBERS, _FINDINGS, """SELECT repo, id, effective_severity AS severity, effective_status AS status, CAST(n_hits AS BIGINT) AS n_hits,
+  count(*) OVER (PARTITION BY repo) AS detected FROM whole""")),
+    "registry_excluded": (registry_excluded, """SELECT concat('c', c_custkey) AS repo, path FROM customer
+  CROSS JOIN (VALUES ('src/app.js'), ('gen/app.js')) p(path) WHERE c_custkey <> 7 OR path <> 'src/app.js'"""),
+    "checkouts_read": (checkouts_read, _LISTED_SQL),
+    "checkouts_scanned": (checkouts_scanned, """SELECT concat('s', s_suppkey) AS repo, 'package.json' AS manifest,
+  concat('d', s_nationkey) AS name, '1' AS version FROM supplier"""),
 }

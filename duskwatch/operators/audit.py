@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.fixed import EXTENSION_TOKEN
 from duskwatch.functions.lifecycle import effective_status, parse_day
+from duskwatch.functions.regexes import UnsupportedRegex, model_regex, to_java
 from duskwatch.sources.registry import coerce_entries
 
 
@@ -40,3 +41,45 @@ def registry_audit(raw: DataFrame, now) -> DataFrame:
         F.count_if(F.col("id").isNotNull() & (F.col("n") > 1)).alias("duplicate_ids"),
         *[F.sum(name).alias(name) for name in checks],
     )
+
+
+def _told(batches):
+    """(entry, kind, source) of expressions with the reason why they cannot run; those that can are left out."""
+    import pyarrow as pa
+
+    for batch in batches:
+        rows, reasons = [], []
+        for row, (kind, source) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            try:
+                to_java(model_regex(source) if kind == "model" else source)
+            except UnsupportedRegex as error:
+                rows.append(row)
+                reasons.append(str(error))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i).take(pa.array(rows, pa.int64())) for i in range(4)), pa.array(reasons, pa.string())],
+            names=["entry_ord", "id", "kind", "source", "reason"],
+        )
+
+
+def unusable_patterns(raw: DataFrame) -> DataFrame:
+    """Expressions of the valid pattern entries of ``raw`` that a scan would set aside, with the reason.
+
+    Judged by the grammar of the registry's dialect and by what can run at any length of text, on the executors: a registry of any
+    size can be audited before it is taken over.
+    """
+    entries = coerce_entries(raw).filter("valid and match = 'pattern'")
+    named = lambda kind: F.transform(f"detect.{kind}s", lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("source")))
+    every = entries.select("entry_ord", "id", F.explode(F.concat(named("pattern"), named("model"))).alias("e"))
+    return every.select("entry_ord", "id", "e.kind", "e.source").mapInArrow(
+        _told, "entry_ord bigint, id string, kind string, source string, reason string"
+    )
+
+
+def pattern_audit(raw: DataFrame) -> DataFrame:
+    """One row: pattern entries, those with an unusable expression, unusable expressions, ids that entries share."""
+    bad = unusable_patterns(raw).agg(F.count(F.lit(1)).alias("unusable_patterns"), F.count_distinct("entry_ord").alias("entries_affected"))
+    entries = coerce_entries(raw)
+    total = entries.filter("valid and match = 'pattern'").agg(F.count(F.lit(1)).alias("pattern_entries"))
+    shared = duplicate_ids(entries.filter("id is not null")).agg(F.count(F.lit(1)).alias("shared_ids"))
+    one = F.lit(1).alias("one")
+    return total.select(one, "*").join(bad.select(one, "*"), "one").join(shared.select(one, "*"), "one").drop("one")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions import lifecycle
 
 #: The day from which a finding's first state holds: before all others.
-BEGINNING = dt.date(1, 1, 1)
+BEGINNING = "0001-01-01"
 
 
 def change_points(findings: DataFrame, within=None, fail_on_retired: bool = False) -> DataFrame:
@@ -20,7 +18,7 @@ def change_points(findings: DataFrame, within=None, fail_on_retired: bool = Fals
     Rows whose state is that of the row before are left out.
     """
     sunset = lifecycle.parse_day(F.col("sunset_date"))
-    start = F.lit(BEGINNING)
+    start = F.lit(BEGINNING).cast("date")
     days = F.when(sunset.isNull(), F.array(start)).otherwise(
         F.array(start, F.date_sub(sunset, lifecycle.within_days(within)), sunset, F.date_add(sunset, 1))
     )
@@ -40,12 +38,13 @@ def change_points(findings: DataFrame, within=None, fail_on_retired: bool = Fals
 
 def write_changes(changes: DataFrame, path: str) -> None:
     """Store change points by month, so that days in between are partitions in between."""
-    changes.withColumn("month", F.date_format("from_day", "yyyy-MM")).write.partitionBy("month").parquet(path)
+    dated = changes.withColumn("month", _month_of(F.col("from_day")))
+    dated.hint("rebalance", "month").write.partitionBy("month").parquet(path)  # few files a month; a large one is split
 
 
 def read_changes(spark: SparkSession, path: str, after=None, upto=None) -> DataFrame:
     """Stored change points of the days after ``after``, up to ``upto``; months outside are not read."""
-    rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path)
+    rows = spark.read.parquet(path)
     for day, months, days in ((after, F.col("month") >= _month(after), F.col("from_day") > _day(after)),
                               (upto, F.col("month") <= _month(upto), F.col("from_day") <= _day(upto))):
         if day is not None:
@@ -58,7 +57,11 @@ def _day(day) -> Column:
 
 
 def _month(day) -> Column:
-    return F.lit(None) if day is None else F.date_format(lifecycle.day(day), "yyyy-MM")
+    return F.lit(None) if day is None else _month_of(lifecycle.day(day))
+
+
+def _month_of(day: Column) -> Column:
+    return 100 * F.year(day) + F.month(day)
 
 
 def state_on(changes: DataFrame, day, keys: list[str]) -> DataFrame:

@@ -147,7 +147,7 @@ def store_reports(tables: dict[str, DataFrame], root: str, batch: Batch) -> None
     Only the buckets of state that hold this batch's reports, repositories and packages are read, not the tables' history.
     The states come last and are replaced with their batch: a retry repeats the same result.
     """
-    from duskwatch.operators.inventory import package_changes, package_rows
+    from duskwatch.operators.inventory import latest_reports, package_changes, package_rows
     from duskwatch.streaming.state import known_reports, latest_per_repo, repos_per_package
 
     spark = tables["reports"].sparkSession
@@ -157,14 +157,14 @@ def store_reports(tables: dict[str, DataFrame], root: str, batch: Batch) -> None
     for name, rows in tables.items():
         write_batch(rows.join(old, "report_id", "left_anti"), root, name, batch)
     fresh = {name: read_batch(spark, root, name, batch) for name in ("reports", "inventory")}
-    packages = F.sort_array(F.collect_list(F.struct("manifest", "name", "version")))
-    declared = fresh["inventory"].groupBy("repo", "report_id").agg(packages.alias("packages"))
     latest = latest_per_repo(spark, root)
-    told = fresh["reports"].join(declared, ["repo", "report_id"], "left").select(
-        "repo", "report_id", "reported_at", F.coalesce("packages", F.array().cast(declared.schema["packages"].dataType)).alias("packages")
-    )
     before = latest.read(fresh["reports"].select("repo"), ahead_of=batch)
-    newest = latest.merge(told).persist()
+    newest = latest_reports(fresh["reports"])
+    packages = F.sort_array(F.collect_list(F.struct("manifest", "name", "version")))
+    declared = fresh["inventory"].join(newest, ["repo", "report_id"], "left_semi").groupBy("repo").agg(packages.alias("packages"))
+    newest = newest.join(declared, "repo", "left").select(
+        "repo", "report_id", "reported_at", F.coalesce("packages", F.array().cast(declared.schema["packages"].dataType)).alias("packages")
+    ).persist()
     try:
         write_batch(package_changes(before, newest), root, "changes", batch)
         repos_per_package(spark, root).write(package_rows(before, newest), batch)

@@ -16,7 +16,7 @@ META = "version int, path string, url string, entries long, fetched_at timestamp
 
 def _meta(spark: SparkSession, root: str) -> DataFrame | None:
     try:
-        return spark.read.schema(META).parquet(f"{root}/meta")
+        return spark.read.schema(META).option("recursiveFileLookup", "true").parquet(f"{root}/meta")
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
@@ -49,7 +49,7 @@ def write_snapshot(
     while not _claimed(spark, f"{root}/claims", version):
         version += 1
     row = (version, path, url, valid, fetched_at)
-    spark.createDataFrame([row], META).coalesce(1).write.mode("append").parquet(f"{root}/meta")
+    spark.createDataFrame([row], META).coalesce(1).write.parquet(f"{root}/meta/{version}")
     return dict(zip(("version", "path", "url", "entries", "fetched_at"), row))
 
 

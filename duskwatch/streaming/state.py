@@ -91,18 +91,24 @@ class State:
             runs = [r for r in runs if r.stream != ahead_of.stream or r.number < ahead_of.number]
         return self._standing(runs)
 
-    def read(self, keys: DataFrame | None = None, ahead_of: Batch | None = None) -> DataFrame:
-        """The rows of the buckets that hold ``keys(*by)``, or of all; one row a key."""
+    def _stored(self, runs: list[Run]) -> DataFrame:
+        rows = self.spark.read.schema(f"{self.schema}, bucket int").option("basePath", self.folder).parquet(*[r.path for r in runs])
+        return rows.drop("stream", "level", "run")
+
+    def pending(self, keys: DataFrame | None = None, ahead_of: Batch | None = None) -> DataFrame:
+        """The rows of the buckets that hold ``keys(*by)``, or of all, as they are stored."""
         runs = self.runs(ahead_of)
         if not runs:
             return self.spark.createDataFrame([], self.schema)
-        buckets = None
-        if keys is not None:  # at most as many numbers as there are buckets
-            buckets = [r.bucket for r in keys.select(self._bucket().alias("bucket")).distinct().collect()]
-        stored = self.spark.read.schema(f"{self.schema}, bucket int").option("basePath", self.folder).parquet(*[r.path for r in runs])
-        if buckets is not None:
-            stored = stored.filter(F.col("bucket").isin(buckets))
-        return self.merge(stored.drop("bucket", "stream", "level", "run"))
+        if keys is None:
+            return self._stored(runs).drop("bucket")
+        # At most as many numbers as there are buckets.
+        buckets = [r.bucket for r in keys.select(self._bucket().alias("bucket")).distinct().collect()]
+        return self._stored(runs).filter(F.col("bucket").isin(buckets)).drop("bucket")
+
+    def read(self, keys: DataFrame | None = None, ahead_of: Batch | None = None) -> DataFrame:
+        """The same rows, one of each key."""
+        return self.merge(self.pending(keys, ahead_of))
 
     def write(self, rows: DataFrame, batch: Batch) -> None:
         """Write the run of a batch, over what an earlier try of it wrote; then merge older runs if there are many."""
@@ -111,8 +117,9 @@ class State:
         self._merge_runs(batch)
 
     def _store(self, rows: DataFrame, path: str) -> None:
+        # Files are moved into place one by one: a run counts when its _SUCCESS is there.
         bucketed = rows.withColumn("bucket", self._bucket())
-        bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        bucketed.repartition("bucket").write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("bucket").parquet(path)
 
     def _merge_runs(self, batch: Batch) -> None:
         # The run of this batch may still be repeated: it is merged by a later one.
@@ -124,8 +131,7 @@ class State:
             due = sorted((r for r in standing if r.level == level), key=lambda r: r.number)
             if len(due) < FAN:
                 continue
-            stored = self.spark.read.schema(f"{self.schema}, bucket int").option("basePath", self.folder).parquet(*[r.path for r in due])
-            merged = self.merge(stored.drop("bucket", "stream", "level", "run"))
+            merged = self.merge(self._stored(due).drop("bucket"))
             self._store(merged, f"{self.folder}/stream={batch.stream}/level={level + 1}/run={due[-1].number}")
             return
 
