@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from duskwatch.llm.common import LOWER, arrow_map, settled
 from duskwatch.llm.jaccard import small_side
 
-#: Items handled in one pass over the texts; more items take more passes, never more memory.
-PACK_ITEMS = 20_000
+#: Items, and bytes of their texts, handled in one pass over the texts; more items take more passes, never more memory.
+PACK_ITEMS, PACK_BYTES = 20_000, 16_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -77,6 +77,8 @@ class Items:
         for i in range(1, width):
             total = total * base + codes[i : n + i]
             known &= codes[i : n + i] >= 0
+        # Past 64 bits numbers wrap; grams that then share one only bring a few more places to align.
+        total &= (1 << 63) - 1
         total[~known] = -1
         return total
 
@@ -101,29 +103,47 @@ class Items:
         same = known[number] == grams[at]
         return at[same], number[same]
 
-    def keep_rare(self, counts: dict[int, dict[int, int]], share: float, least: int) -> None:
-        """Leave each item its rarest grams as seeds: ``share`` of them, ``least`` at least."""
-        per_item: dict[int, list[tuple[int, int, int]]] = {}
+    def per_item(self) -> dict[int, set[tuple[int, int]]]:
+        """The distinct grams (width, number) of each item."""
+        out: dict[int, set[tuple[int, int]]] = {}
         for w, places in self.places.items():
             for number, spots in enumerate(places):
                 for i, _ in spots:
-                    per_item.setdefault(i, []).append((counts.get(w, {}).get(number, 0), w, number))
+                    out.setdefault(i, set()).add((w, number))
+        return out
+
+    def seeds_needed(self, least: float) -> dict[int, int]:
+        """How many of its grams an item must keep so that every copy of similarity ``least`` still holds one.
+
+        As many as such a copy can lack, and one more: it may have lost the grams of its edits, ``width`` each, or all outside
+        of a part of the item that is copied whole.
+        """
+        needed = {}
+        for i, grams in self.per_item().items():
+            n = len(self.codes[i])
+            edits = int(2 * n * (1 - least) / (MATCH - MISMATCH))
+            part = max(0, -int(-least * n // 1) - self.width + 1)
+            needed[i] = max(self.width * edits, len(grams) - part) + 1
+        return needed
+
+    def keep_rare(self, counts: dict[int, dict[int, int]], needed: dict[int, int]) -> None:
+        """Leave each item its rarest grams as seeds, as many as it needs; those that no document holds take no place."""
         seeds = set()
-        for i, grams in per_item.items():
-            grams = sorted(set(grams))
-            for _, w, number in grams[: max(least, round(share * len(grams)))]:
-                seeds.add((i, w, number))
+        for i, grams in self.per_item().items():
+            held = sorted((n, w, number) for w, number in grams if (n := counts.get(w, {}).get(number, 0)))
+            seeds.update((i, w, number) for _, w, number in held[: needed[i]])
         for w, places in self.places.items():
             self.places[w] = [[s for s in spots if (s[0], w, number) in seeds] for number, spots in enumerate(places)]
 
 
 def _packs(items: DataFrame, size: int) -> Iterator[list[tuple]]:
-    pack = []
+    pack, held = [], 0
     for row in items.toLocalIterator():
         pack.append(tuple(row))
-        if len(pack) == size:
+        held += len(row[1] or "")
+        if len(pack) == size or held >= PACK_BYTES:
             yield pack
-            pack = []
+            pack, held = [], 0
     if pack:
         yield pack
 
@@ -154,6 +174,8 @@ def _count(shared):
 
 
 def _score(shared, least: float):
+    import numpy as np
+
     def found(text: str, pack: Items) -> list[dict]:
         codes = pack.coded(text)
         starts: dict[int, set[int]] = {}
@@ -174,8 +196,10 @@ def _score(shared, least: float):
                 for b in [*order, None]:  # seeds far from each other are aligned apart
                     if group and (b is None or b - group[-1] > len(wanted)):
                         lo, hi = max(0, group[0] - pad), group[-1] + len(wanted) + pad
-                        score, start, end = align(wanted, codes[lo:hi])
-                        best = max(best, (score, lo + start, lo + end), key=lambda x: (x[0], -x[1]))
+                        # A score this high needs so many words of the item at least.
+                        if np.isin(codes[lo:hi], wanted).sum() >= least * len(wanted):
+                            score, start, end = align(wanted, codes[lo:hi])
+                            best = max(best, (score, lo + start, lo + end), key=lambda x: (x[0], -x[1]))
                         group = []
                     if b is not None:
                         group.append(b)
@@ -195,16 +219,17 @@ def _score(shared, least: float):
 
 def contaminated(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    width: int = 3, seed_share: float = 0.5, least_seeds: int = 6, least: float = 0.5,
+    width: int = 3, least: float = 0.5,
 ) -> DataFrame:
     """(document, item) pairs where the text holds the item or an edited copy of it, and where (in words).
 
-    Seeds are each item's rarest word n-grams, rarity counted over all documents. Wherever one stands in a text,
+    Seeds are each item's rarest word n-grams, rarity counted over all documents: as many as a copy at ``least`` can lack and one more,
+    which for a ``least`` near one half is all that occur. Wherever one stands in a text,
     the item is aligned with the words around it: 2 for a match, -1 for a mismatch or a gap. The similarity is the
     score against that of the item itself; ``least`` and more are returned. Each item keeps
     seeds however frequent its n-grams are, so an item that many documents hold is found in all of them.
 
-    The items travel to the tasks in packs of at most 20,000, each its own pass over the texts; texts stay
+    The items travel to the tasks in packs of at most 20,000 and about 16 MB, each its own pass over the texts; texts stay
     where they are. Null or empty texts and items match nothing; repeated rows each get their pairs;
     items with equal text are all returned; empty tables give no rows.
     """
@@ -218,16 +243,19 @@ def contaminated(
         if not pack.ids:
             continue
         shared = spark.sparkContext.broadcast(pack)
-        totals = (
-            narrow.select("text").mapInArrow(_count(shared), "width int, number bigint, docs bigint")
-            .groupBy("width", "number").agg(F.sum("docs").alias("docs"))
-        )
-        counts: dict[int, dict[int, int]] = {}
-        for row in totals.toLocalIterator():  # one number per n-gram of the pack
-            counts.setdefault(row["width"], {})[row["number"]] = row["docs"]
-        pack.keep_rare(counts, seed_share, least_seeds)
+        needed = pack.seeds_needed(least)
+        if any(needed[i] < len(grams) for i, grams in pack.per_item().items()):  # else all are seeds, and nobody needs to count
+            totals = (
+                narrow.select("text").mapInArrow(_count(shared), "width int, number bigint, docs bigint")
+                .groupBy("width", "number").agg(F.sum("docs").alias("docs"))
+            )
+            counts: dict[int, dict[int, int]] = {}
+            for row in totals.toLocalIterator():  # one number per n-gram of the pack
+                counts.setdefault(row["width"], {})[row["number"]] = row["docs"]
+            pack.keep_rare(counts, needed)
+            shared = spark.sparkContext.broadcast(pack)
         found = (
-            arrow_map(narrow, "text", ["doc_id"], f"doc_id {kind}, {made}", _score(spark.sparkContext.broadcast(pack), least))
+            arrow_map(narrow, "text", ["doc_id"], f"doc_id {kind}, {made}", _score(shared, least))
             .select("doc_id", F.explode("found").alias("f"))
         )
         ids = spark.createDataFrame([(i, x) for i, x in enumerate(pack.ids)], _ids_schema(item_kind))

@@ -203,8 +203,8 @@ def pair_values(used: DataFrame, groups: DataFrame) -> DataFrame:
     entry = F.struct("source", "p", "p0")
     rows = used.groupBy("lang", "term").agg(F.array_sort(F.collect_list(entry)).alias("path")).filter(F.size("path") > 1)
     paths = settled(rows.groupBy("lang", "path").agg(F.count("*").alias("many")), "term-paths")
-    # Neighbours in this order share beginnings; a range of it may be cut anywhere, which only costs shared nodes.
-    ordered = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # Rows that begin alike meet in one task and follow each other; what begins alike elsewhere only costs shared nodes.
+    ordered = paths.repartition("lang", F.slice("path", 1, 3)).sortWithinPartitions("lang", "path")
     shared = ordered.mapInArrow(_tree_sums, "lang string, source string, item string, value bigint")
     columns = lambda df, *c: df.select("lang", *c, F.col("value").cast("decimal(38,0)").alias("value"))
     every = (

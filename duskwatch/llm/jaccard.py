@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import LOWER, WordHashes, arrow_map, settled, windows
+from duskwatch.llm.common import LOWER, WordHashes, arrow_map, scratch, settled, windows
 from duskwatch.llm.links import components
 from duskwatch.llm.rarity import CELLS, by_rarity, cell_counts, ranks
 
@@ -139,6 +139,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Null texts and texts without words have size 0 and stay by themselves; repeated rows are copies; rows
     with a null key get component null and link nobody. Hashes have 64 bits.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components_of(docs, key, text, width, percent), "near-duplicates")
+
+
+def _components_of(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     make = shingle_maker(width)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import LOWER, WordHashes, mixed, pieces, settled
+from duskwatch.llm.common import LOWER, WordHashes, mixed, pieces, scratch, settled
 from duskwatch.llm.jaccard import small_side
 from duskwatch.llm.rarity import CELLS, cell_counts, ranks
 
@@ -159,6 +159,11 @@ def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     Null and empty texts have no lines; empty lines stay; rows with a null key take no part; repeated
     rows are one document, and its lines go or stay in all of them.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_later(docs, key, text, percent), "later-lines")
+
+
+def _later(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     rank = docs.sparkSession.sparkContext.broadcast(ranks(cell_counts(narrow, "text", _all_words(WordHashes()))))
     kind = narrow.schema["doc_id"].dataType.simpleString()

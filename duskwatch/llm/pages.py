@@ -27,7 +27,7 @@ ENDS = {
 }
 #: Where the search for such an open element stops.
 SCOPES = frozenset("article aside blockquote body div footer form header html main nav ol section table ul dl".split())
-#: Never part of an article: by element, by role, by a word of class or id.
+#: Never part of an article: by element, by role; by a name in class or id that says nothing else.
 APART = frozenset(
     "nav footer aside form button select input textarea label script style noscript template iframe svg canvas object head title menu dialog".split()
 )
@@ -42,7 +42,14 @@ TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>", re.S
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-WORDS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[a-z]{2,}")
+#: Words that may stand beside a hint in such a name: where it is and what kind of box.
+BESIDE = frozenset(
+    "site main page top bottom left right box container wrapper wrap block section area bar list links link global primary secondary inner"
+    " outer panel module holder group row column col item items post posts article entry content body text the sticky fixed full".split()
+)
+#: Elements that are a list of links to elsewhere if four fifths of their text and three links or more are.
+LINK_LISTS = frozenset("ul ol dl div section table".split())
 
 
 def _apart(name: str, attributes: str, in_article: bool) -> bool:
@@ -51,10 +58,20 @@ def _apart(name: str, attributes: str, in_article: bool) -> bool:
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-    if found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
-        return True
-    named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()
-    return not HINTS.isdisjoint(WORDS.findall(named))
+    return found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes))
+
+
+def _hinted(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether a name in class or id is that of a part set apart: ``site-footer`` is one, ``has-sidebar`` is not."""
+    if not attributes or name in ("html", "body", "article", "main"):
+        return False
+    found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
+    hints = HINTS - {"header", "masthead"} if in_article else HINTS
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+        if words and words & hints and words <= hints | BESIDE:
+            return True
+    return False
 
 
 class Page:
@@ -62,14 +79,16 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.name, self.runs = [-1], ["body"], []
+        self.hinted: list[int] = []  # elements whose names say that they are set apart
         stack, block, at = [0], 0, 0
         out_of = 0  # open elements set apart
         skipped: list[str] = []  # the element set apart that is being passed over
         inner: Counter = Counter()  # elements open inside it
         articles = 0
         pos, end = 0, len(html)
+        tags_end = html.rfind(">") + 1  # no tag ends behind it, and none is looked for
         while pos < end:
-            m = TAG.search(html, pos)
+            m = TAG.search(html, pos, max(tags_end, pos)) if pos < tags_end else self._open_comment(html, pos)
             upto = m.start() if m else end
             if upto > at and not skipped:
                 self.runs.append((stack[-1], block, html[at:upto]))
@@ -138,6 +157,8 @@ class Page:
                 continue
             self.parent.append(stack[-1])
             self.name.append(name)
+            if _hinted(name, m[3] or "", articles > 0):
+                self.hinted.append(len(self.name) - 1)
             if name not in VOID:
                 stack.append(len(self.name) - 1)
                 articles += name == "article"
@@ -148,11 +169,58 @@ class Page:
             return name != apart and inner[name] <= 0 and name in BLOCK and any(self.name[i] == name for i in stack[1:])
         return apart in ENDS.get(name, ()) and apart in ("p", "li", "dt", "dd", "td", "th", "tr") and not any(n > 0 for n in inner.values())
 
+    @staticmethod
+    def _open_comment(html: str, pos: int):
+        at = html.find("<!--", pos)
+        return None if at < 0 else TAG.match(html, at)
+
     @staticmethod
     def _raw_end(html: str, name: str, pos: int) -> int:
         m = re.compile(f"</{name}[^>]*>", re.I).search(html, pos)
         return m.end() if m else len(html)
 
+    def drop(self) -> None:
+        """Take out parts set apart by their names, and lists of links inside articles.
+
+        Never one that holds half of the text, unless an article stands beside it.
+        """
+        n = len(self.name)
+        linked, article = [False] * n, [False] * n
+        for i in range(1, n):
+            linked[i] = linked[self.parent[i]] or self.name[i] == "a"
+            article[i] = article[self.parent[i]] or self.name[i] == "article"
+        plain, in_links, links = [0] * n, [0] * n, [0] * n
+        for node, _, raw in self.runs:
+            size = len(raw.strip())
+            (in_links if linked[node] else plain)[node] += size
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            plain[up] += plain[i]
+            in_links[up] += in_links[i]
+            links[up] += links[i] + (self.name[i] == "a")
+        # Elements stand in the order of their beginnings: each with all below it is a run of them.
+        ends = list(range(1, n + 1))
+        for i in range(n - 1, 0, -1):
+            ends[self.parent[i]] = max(ends[self.parent[i]], ends[i])
+        stories = [i for i in range(1, n) if self.name[i] in ("article", "main") and plain[i]]
+        first_end, last = min((ends[i] for i in stories), default=n), max(stories, default=-1)
+        gone = [False] * n
+        hinted = set(self.hinted)
+        for i in range(1, n):
+            listed = article[i] and self.name[i] in LINK_LISTS and links[i] >= 3 and in_links[i] >= 4 * plain[i]
+            beside = first_end <= i or last >= ends[i]  # a story that this element neither holds nor is part of
+            gone[i] = (
+                gone[self.parent[i]] or (listed and 2 * in_links[i] < plain[0] + in_links[0])
+                or (i in hinted and (beside or 2 * plain[i] < max(plain[0], 1)))
+            )
+        if any(gone):
+            self.runs = [run for run in self.runs if not gone[run[0]]]
+            kept = [i for i in range(n) if not gone[i]]
+            place = {old: new for new, old in enumerate(kept)}
+            self.parent = [-1 if i == 0 else place[self.parent[i]] for i in kept]
+            self.name = [self.name[i] for i in kept]
+            self.runs = [(place[node], block, raw) for node, block, raw in self.runs]
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite text density of every element, and the sum of its children's.
 
@@ -209,6 +277,7 @@ class Page:
         }
 
     def text(self) -> str:
+        self.drop()
         if not self.runs:
             return ""
         chosen = self.content()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import SPACES, arrow_map, settled
+from duskwatch.llm.common import SPACES, arrow_map, scratch, settled
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -74,6 +74,11 @@ def judge_quality(
     Null and empty texts have no words and fail; a null host is the host ""; repeated rows are judged
     alike, each has its row; an empty table gives none.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_judged(docs, key, host, text, min_docs, least_left), "quality")
+
+
+def _judged(docs: DataFrame, key: str, host: str, text: str, min_docs: int, least_left: float) -> DataFrame:
     rows = settled(
         arrow_map(
             docs.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import settled
+from duskwatch.llm.common import scratch, settled
 
 #: Kind, expression, group of the secret value, least length of that group.
 BASE = (
@@ -20,8 +20,11 @@ PLACEHOLDER = r"(?i)example|sample|changeme|your|dummy|placeholder|xxxx|test"
 
 
 def _found(text: Column, kind: tuple) -> Column:
-    """Matches as (kind, number, characters before it since the last one, length, value)."""
-    name, regex, group, _ = kind
+    """Matches as (kind, number, characters before it since the last one, length, hash, whether it looks live).
+
+    The hash is of the value and null where the match counts for nothing; the value itself goes no farther than this.
+    """
+    name, regex, group, least = kind
     gaps = F.split(text, regex, -1)
     return F.transform(
         F.arrays_zip(
@@ -30,13 +33,23 @@ def _found(text: Column, kind: tuple) -> Column:
             F.slice(F.transform(gaps, F.length), 1, F.size(gaps) - 1).alias("g"),
         ),
         lambda z, i: F.struct(
-            F.lit(name).alias("kind"), i.alias("n"), z["g"].alias("gap"), F.length(z["m"]).alias("len"), z["v"].alias("value")
+            F.lit(name).alias("kind"), i.alias("n"), z["g"].alias("gap"), F.length(z["m"]).alias("len"),
+            F.when(_counts(z["v"], name, least), F.sha2(z["v"], 256)).alias("hash"), _looks_live(z["v"]).alias("live_looking"),
         ),
     )
 
 
+def _counts(value: Column, kind: str, least: int) -> Column:
+    long_enough = F.length(value) >= least
+    return long_enough & value.rlike("[A-Z]") & value.rlike("[a-z]") & value.rlike("[0-9]") if kind == OWNED[0] else long_enough
+
+
+def _looks_live(value: Column) -> Column:
+    return (_distinct_characters(value) >= 8) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
+
+
 def _matches(text: Column) -> Column:
-    none = F.array().cast("array<struct<kind:string,n:int,gap:int,len:int,value:string>>")
+    none = F.array().cast("array<struct<kind:string,n:int,gap:int,len:int,hash:string,live_looking:boolean>>")
     return F.concat(*[F.when(text.rlike(kind[1]), _found(text, kind)).otherwise(none) for kind in KINDS])
 
 
@@ -47,7 +60,7 @@ def _distinct_characters(value: Column) -> Column:
 def secret_candidates(docs: DataFrame, key: str, text: str, repo: Column, owner: Column) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): one row per input row, and every candidate with its place and the hash of its value.
 
-    The value itself is not kept. Places come from a running sum over a row's matches of one kind,
+    The value itself is written nowhere. Places come from a running sum over a row's matches of one kind,
     so a text with very many matches costs no more per match than others.
     """
     rows = settled(
@@ -58,20 +71,14 @@ def secret_candidates(docs: DataFrame, key: str, text: str, repo: Column, owner:
         "secret-matches",
     )
     so_far = Window.partitionBy("rid", "kind").orderBy("n")
-    least = F.create_map(*[F.lit(x) for name, _, _, n in KINDS for x in (name, n)])
     order = F.create_map(*[F.lit(x) for i, (name, *_) in enumerate(KINDS) for x in (name, i)])
-    value = F.col("value")
     spans = (
         rows.select("rid", "repo", "owner", F.explode("found").alias("f")).select("rid", "repo", "owner", "f.*")
         .withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far))
-        .filter(F.length("value") >= least[F.col("kind")])
-        .filter((F.col("kind") != "owned") | value.rlike("[A-Z]") & value.rlike("[a-z]") & value.rlike("[0-9]"))
+        .filter("hash is not null")
         .select(
             "rid", "repo", "owner", "kind", order[F.col("kind")].alias("kind_ord"),
-            (F.col("end") - F.col("len")).alias("start"), "end", F.sha2("value", 256).alias("hash"),
-            (
-                (_distinct_characters(value) >= 8) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
-            ).alias("live_looking"),
+            (F.col("end") - F.col("len")).alias("start"), "end", "hash", "live_looking",
         )
     )
     return rows.select("rid", "doc_id"), spans
@@ -99,7 +106,11 @@ def scan_secrets(
     table gives none. The join by value may be skewed by a widely copied one; both its sides come straight
     from a shuffle that Spark can split.
     """
-    rows, spans = secret_candidates(docs, key, text, repo, owner)
+    with scratch(docs.sparkSession) as keep:
+        return keep(_judged(*secret_candidates(docs, key, text, repo, owner), max_owners), "secrets")
+
+
+def _judged(rows: DataFrame, spans: DataFrame, max_owners: int) -> DataFrame:
     judged = spans.join(settled(ownership(spans), "secret-owners"), "hash").withColumn("live", F.col("live_looking") & (F.col("owners") <= max_owners))
     span = F.struct("start", "kind_ord", "end", "kind", "live", "owners", "repos")
     per_row = judged.groupBy("rid").agg(F.sort_array(F.collect_list(span)).alias("all"))

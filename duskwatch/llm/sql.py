@@ -4,7 +4,7 @@ _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LOW_WORDS = _WORDS.format(_LOWER.format("{0}"))
 
-QUALITY = rf"""
+_QUALITY = rf"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, {_WORDS.format('text')} AS ws FROM d),
 tri AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
@@ -16,9 +16,7 @@ raw AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line F
 lines AS (SELECT *, array_to_string({_LOW_WORDS.format('line')}, ' ') AS norm, len({_WORDS.format('line')}) AS n
   FROM raw WHERE len({_WORDS.format('line')}) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
-templates AS (SELECT host, norm, min(doc_id) AS first FROM lines JOIN hosts USING (host)
-  GROUP BY host, norm, docs HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.2 * docs),
+templates AS (SELECT host, norm, min(doc_id) AS first FROM lines GROUP BY host, norm HAVING count(DISTINCT text) > MIN_DOCS),
 gone AS (SELECT doc_id, count(*) AS n, sum(l.n) AS words FROM lines l JOIN templates t
   ON t.host = l.host AND t.norm = l.norm AND t.first <> l.doc_id GROUP BY doc_id),
 f AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
@@ -31,6 +29,16 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_template_words >= 0.3 * n_words AS kept,
   CAST(n_template_lines AS BIGINT) AS n_template_lines, CAST(n_template_words AS BIGINT) AS n_template_words FROM f"""
 
+
+
+def quality(min_docs: int) -> str:
+    """The verdicts where a line of more than ``min_docs`` distinct documents of a host is a template."""
+    return _QUALITY.replace("MIN_DOCS", str(min_docs))
+
+
+#: With the operator's own limit, as in the pipeline.
+QUALITY = quality(20)
+
 LINES = rf"""
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
   FROM documents WHERE text IS NOT NULL),
