@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from duskwatch.sinks.reports import Batch
 
 BUCKETS = 64
+#: Tasks that write a run; a number of its own keeps them from being drawn together into one that writes file after file.
+WRITERS = 16
 #: Runs of one level that are merged into one of the next.
 FAN = 8
 
@@ -119,7 +121,7 @@ class State:
     def _store(self, rows: DataFrame, path: str) -> None:
         # Files are moved into place one by one: a run counts when its _SUCCESS is there.
         bucketed = rows.withColumn("bucket", self._bucket())
-        bucketed.repartition("bucket").write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("bucket").parquet(path)
+        bucketed.repartition(WRITERS, "bucket").write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("bucket").parquet(path)
 
     def _merge_runs(self, batch: Batch) -> None:
         # The run of this batch may still be repeated: it is merged by a later one.
