@@ -100,6 +100,62 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: Bytes hashed at once, and the odd number whose powers weigh them.
+HASHED, BASE = 1 << 18, 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int):
+    import numpy as np
+
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def column_words(texts):
+    """(hash, row, line) of every word of an Arrow column of texts, A-Z made small, in order; lines from 0 in each text.
+
+    The hash is a polynomial of the word's bytes: a difference of two running sums, so that no word becomes
+    a Python object. Sums are carried on from one run of bytes to the next: memory is bounded by the words.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+    size = int(offsets[-1] - offsets[0])
+    data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if size else np.zeros(0, dtype=np.uint8)
+    offsets = offsets - offsets[0]
+    inside = ~((data == 32) | (data >= 9) & (data <= 13))
+    cut = np.zeros(size + 1, dtype=bool)  # before which bytes a text begins
+    cut[offsets] = True
+    starts = np.flatnonzero(inside & (cut[:-1] | np.r_[True, ~inside[:-1]])) if size else np.zeros(0, dtype=np.int64)
+    ends = np.flatnonzero(inside & (cut[1:] | np.r_[~inside[1:], True])) + 1 if size else starts
+    value = mixed(np.frombuffer(bytes(range(256)).translate(LOWER), dtype=np.uint8).astype(np.uint64) + np.uint64(1))
+    back = pow(BASE, -1, 1 << 64)
+    up, down = _powers(BASE, HASHED), _powers(back, HASHED)
+    words = np.empty(len(starts), dtype=np.uint64)
+    opened = np.empty(len(starts), dtype=np.uint64)  # the sum before the word
+    carried, i, j = np.uint64(0), 0, 0
+    for lo in range(0, size, HASHED):
+        run = data[lo : lo + HASHED]
+        scale = np.uint64(pow(BASE, lo, 1 << 64))
+        sums = np.cumsum(np.r_[carried, value[run] * up[: len(run)] * scale], dtype=np.uint64)
+        last_start, last_end = np.searchsorted(starts, lo + len(run)), np.searchsorted(ends, lo + len(run), "right")
+        opened[i:last_start] = sums[starts[i:last_start] - lo]
+        words[j:last_end] = sums[ends[j:last_end] - lo] - opened[j:last_end]
+        carried, i, j = sums[-1], last_start, last_end
+    for lo in range(0, size, HASHED):  # shift every word to place 0
+        a, b = np.searchsorted(starts, (lo, lo + HASHED))
+        words[a:b] *= down[starts[a:b] - lo] * np.uint64(pow(back, lo, 1 << 64))
+    words = mixed(words + (ends - starts).astype(np.uint64))
+    rows = np.searchsorted(offsets, starts, "right") - 1
+    breaks = np.flatnonzero(data == 10)
+    lines = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets)[rows]
+    return words, rows, lines
+
+
 def windows(hashes, width: int):
     """The hash of every run of ``width`` consecutive words; of the whole sequence if it is shorter."""
     import numpy as np

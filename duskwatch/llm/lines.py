@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import LOWER, WordHashes, mixed, pieces, scratch, settled
+from duskwatch.llm.common import column_words, mixed, pieces, scratch, settled
 from duskwatch.llm.jaccard import small_side
 from duskwatch.llm.rarity import CELLS, cell_counts, ranks
 
@@ -13,45 +13,36 @@ from duskwatch.llm.rarity import CELLS, cell_counts, ranks
 GLANCES = 3
 
 
-def _all_words(hashes: WordHashes):
-    def make(text: str):
-        return hashes.of(text.encode().translate(LOWER).split())
+def _by_line(line, rare, words):
+    """The order by line, rarity and hash."""
+    import numpy as np
 
-    return make
+    if len(line) and line[-1] < 1 << 24:
+        # One number holds it all but the lower half of the hash, which hardly ever decides.
+        short = line.astype(np.uint64) << np.uint64(40) | rare.astype(np.uint64) << np.uint64(32) | words >> np.uint64(32)
+        order = np.argsort(short)
+        short, sorted_words = short[order], words[order]
+        if not ((short[1:] == short[:-1]) & (sorted_words[1:] != sorted_words[:-1])).any():
+            return order
+    return np.lexsort((words, rare, line))
 
 
 class LineSets:
-    """The word sets of all lines of some texts, as flat arrays: words of one line stand together, the rarest first."""
+    """The word sets of all lines of a column of texts, as flat arrays: words of one line stand together, the rarest first."""
 
-    def __init__(self, hashes: WordHashes, texts: list[str | None], rank=None):
+    def __init__(self, texts, rank=None):
         import numpy as np
 
-        owners, numbers, sizes, codes = [], [], [], []
-        ids: dict[bytes, int] = {}
-        add = ids.setdefault
-        for row, text in enumerate(texts):
-            if not text:
-                continue
-            for number, line in enumerate(text.encode().translate(LOWER).split(b"\n")):
-                if found := line.split():
-                    owners.append(row)
-                    numbers.append(number)
-                    sizes.append(len(found))
-                    codes += [add(w, len(ids)) for w in found]
-        self.rows = np.array(owners, dtype=np.int64)  # of the batch
-        self.numbers = np.array(numbers, dtype=np.int32)  # of the line in its text
-        words = hashes.of(list(ids))
-        if rank is not None:
-            order = np.lexsort((words, rank[(words & np.uint64(CELLS - 1)).astype(np.int64)]))
-            place = np.empty(len(order), dtype=np.int64)
-            place[order] = np.arange(len(order))
-            words, codes = words[order], place[np.array(codes, dtype=np.int64)]
-        line = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
-        both = line << 32 | np.asarray(codes, dtype=np.int64)
-        both.sort()
-        both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
-        self.items, self.line = words[both & 0xFFFFFFFF], both >> 32
-        self.n = np.bincount(self.line, minlength=len(sizes)).astype(np.int64)
+        words, rows, lines = column_words(texts)
+        begins = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (lines[1:] != lines[:-1])]) if len(words) else np.zeros(0, dtype=np.int64)
+        self.rows, self.numbers = rows[begins], lines[begins].astype(np.int32)  # of the column; of the line in its text
+        line = np.repeat(np.arange(len(begins), dtype=np.int64), np.diff(np.r_[begins, len(words)]))
+        rare = np.zeros(len(words), dtype=np.uint8) if rank is None else rank[(words & np.uint64(CELLS - 1)).astype(np.int64)]
+        order = _by_line(line, rare, words)
+        words, line = words[order], line[order]
+        first = np.r_[True, (words[1:] != words[:-1]) | (line[1:] != line[:-1])] if len(words) else np.zeros(0, dtype=bool)
+        self.items, self.line = words[first], line[first]
+        self.n = np.bincount(self.line, minlength=len(begins)).astype(np.int64)
         self.starts = np.cumsum(self.n) - self.n
 
     def each(self, ufunc, values):
@@ -93,9 +84,9 @@ def _seen(rank_of, percent: int):
     def run(batches):
         import pyarrow as pa
 
-        rank, hashes = rank_of.value, WordHashes()
+        rank = rank_of.value
         for batch in (piece for whole in batches for piece in pieces(whole, 1)):
-            sets = LineSets(hashes, batch.column(1).to_pylist(), rank)
+            sets = LineSets(batch.column(1), rank)
             words, offsets = sets.prefixes(percent)
             glances = sets.glances().reshape(-1)
             yield pa.RecordBatch.from_arrays(
@@ -114,9 +105,8 @@ def _whole(batches):
     import numpy as np
     import pyarrow as pa
 
-    hashes = WordHashes()
     for batch in (piece for whole in batches for piece in pieces(whole, 0)):
-        sets = LineSets(hashes, batch.column(0).to_pylist())
+        sets = LineSets(batch.column(0))
         offsets = np.concatenate([[0], np.cumsum(sets.n)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(sets.ids()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.items.view(np.int64)))], names=["set", "items"]
@@ -150,7 +140,7 @@ def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     goes if any earlier line is like it, whether that one stays or not.
 
     Lines of one set are one class with one first place. Words of a set are ordered by rarity in the corpus; the
-    rarest ones, as many as two like sets must share one of, are joined. Pairs pass a length filter,
+    rarest ones, as many as a set and a shorter or longer like one must share one of, are joined. Pairs pass a length filter,
     a positional filter and a 64-bit bitmap that differs in no more bits than the sets do in words;
     then Jaccard is verified on the whole sets. Before that, classes that a pair of
     least hashes brings together are compared with the first of their group: what is like it is
@@ -165,7 +155,7 @@ def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
 
 def _later(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    rank = docs.sparkSession.sparkContext.broadcast(ranks(cell_counts(narrow, "text", _all_words(WordHashes()))))
+    rank = docs.sparkSession.sparkContext.broadcast(ranks(cell_counts(narrow, "text", of_column=lambda texts: column_words(texts)[0])))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     seen = settled(
         narrow.mapInArrow(
@@ -197,15 +187,28 @@ def _later(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     )
     sets = _fetch(near, classes, narrow)
     resolved = settled(_alike(near, sets, percent).select(F.col("a").alias("id")).distinct(), "lines-resolved")
-    # The join: classes that still search, against all earlier ones.
-    spread = lambda df: df.select("id", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    a = side(spread(classes.join(small_side(resolved), "id", "left_anti")), "a", "word", F.col("pos").alias("pos_a"))
-    b = side(spread(classes), "b", "word", F.col("pos").alias("pos_b"))
+    # The join, by length: of two like sets the longer shares a word of its prefix, the shorter one of a prefix as long
+    # as equal lengths would allow. A pair whose later class is settled need not be found.
+    marked = classes.select("id", "n", "bits", "prefix").join(small_side(resolved.withColumn("known", F.lit(True))), "id", "left")
+    long = marked.select("id", "n", "bits", "known", F.posexplode("prefix").alias("pos", "word"))
+    fewest = F.ceil(2 * percent * F.col("n") / F.lit(100 + percent)).cast("int")
+    short = marked.select("id", "n", "bits", "known", F.posexplode(F.slice("prefix", 1, F.col("n") - fewest + 1)).alias("pos", "word"))
+    packed = lambda df, s: df.select(
+        "word", F.col("id").alias(f"id_{s}"), F.col("bits").alias(f"bits_{s}"),
+        # Length, place and whether the class is settled as one number.
+        (F.shiftleft(F.col("n").cast("long"), 32) + 2 * F.col("pos") + F.coalesce(F.col("known").cast("int"), F.lit(0))).alias(f"at_{s}"),
+    )
+    met = packed(long, "a").join(packed(short, "b"), "word").filter("id_a != id_b").withColumns(
+        {f"n_{s}": F.shiftright(f"at_{s}", 32) for s in "ab"}
+        | {f"pos_{s}": F.shiftright(F.col(f"at_{s}").bitwiseAND(0xFFFFFFFF), 1) for s in "ab"}
+    )
+    later = F.when(F.col("id_a") > F.col("id_b"), F.col("at_a")).otherwise(F.col("at_b"))
     pairs = settled(
-        a.join(b, "word").filter((F.col("id_b") < F.col("id_a")) & fits & near_enough)
+        met.filter((F.col("n_a") > F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("id_a") > F.col("id_b")))
+        .filter(later.bitwiseAND(1) == 0).filter(fits & near_enough)
         # The first common word of two sets this large stands before these places.
         .filter((F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need))
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(),
+        .select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct(),
         "line-pairs",
     )
     more = _fetch(pairs, classes, narrow, have=sets)

@@ -12,9 +12,11 @@ CELLS = 1 << 20
 RANGES = 64
 
 
-def cell_counts(docs: DataFrame, text: str, items):
+def cell_counts(docs: DataFrame, text: str, items=None, of_column=None):
     """Occurrences per cell of ``items(text) -> uint64 array`` over all rows, as an int64 numpy array.
 
+    ``of_column`` gives the items of a whole Arrow column of texts instead.
+
     Every task adds up its own rows and sends one array per range of cells; ranges are summed
     in parallel as they stream in. The result holds ``CELLS`` numbers, however large the corpus is.
     """
@@ -25,7 +27,7 @@ def cell_counts(docs: DataFrame, text: str, items):
 
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in (piece for whole in batches for piece in pieces(whole, 0)):
-            found = [items(value) for value in batch.column(0).to_pylist() if value]
+            found = [of_column(batch.column(0))] if of_column else [items(value) for value in batch.column(0).to_pylist() if value]
             if found:
                 cells = np.concatenate(found) & np.uint64(CELLS - 1)
                 total += np.bincount(cells.astype(np.int64), minlength=CELLS)

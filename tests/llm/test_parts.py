@@ -5,10 +5,14 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
+from duskwatch.llm import common
+from duskwatch.llm.common import LOWER
 from duskwatch.llm.decontamination import GAP, MATCH, MISMATCH, _best, align
+from duskwatch.llm.lines import LineSets
 from duskwatch.llm.packing import best_fit
 from duskwatch.llm.pages import Page
 from duskwatch.llm.passages import COST, GAIN, chains
@@ -157,3 +161,29 @@ def test_densest_subtree_without_an_article_element():
     page = f"<body><div class=q1><ul>{links}</ul></div><div class=q2><h1>Title</h1><div>{body}</div></div><div class=q3>{links}</div>"
     got = Page(page).text().split("\n\n")
     assert got[0] == "Title" and len(got) == 6 and got[5].endswith("4")
+
+
+def _plain_words(texts):
+    lower = [(row, number, line) for row, text in enumerate(texts) for number, line in enumerate((text or "").encode().translate(LOWER).split(b"\n"))]
+    return [(word, row, number) for row, number, line in lower for word in line.split()]
+
+
+@pytest.mark.parametrize("run", [7, 1 << 18])
+def test_words_of_a_column_equal_split(monkeypatch, run):
+    monkeypatch.setattr(common, "HASHED", run)
+    texts = [None, "", "\n\n", "a", "B a\n\x0bb\tb é É", "x" * 3000, " y" * 999, None, "a b", "ab", "ba\n", "\na", "a\x85b c", " \r\n d"]
+    for column, plain in ((pa.array(texts), texts), (pa.array(texts).slice(3, 8), texts[3:11]), (pa.array([], pa.string()), [])):
+        words, rows, lines = common.column_words(column)
+        expected = _plain_words(plain)
+        assert list(zip(rows.tolist(), lines.tolist(), strict=True)) == [e[1:] for e in expected]
+        named = dict(zip(words.tolist(), (e[0] for e in expected), strict=True))
+        assert [named[w] for w in words.tolist()] == [e[0] for e in expected] and len(named) == len({e[0] for e in expected})
+
+
+def test_line_sets_stand_by_rarity():
+    rank = np.arange(1 << 20, dtype=np.int64).astype(np.uint8)
+    texts = ["a b a c\n\nc b a a", None, "A b c"]
+    sets = LineSets(pa.array(texts), rank)
+    assert sets.rows.tolist() == [0, 0, 2] and sets.numbers.tolist() == [0, 2, 0] and sets.n.tolist() == [3, 3, 3]
+    assert len(set(sets.ids().tolist())) == 1 and len(set(sets.bitmaps().tolist())) == 1
+    assert [(rank[w & np.uint64((1 << 20) - 1)], w) for w in sets.items[:3]] == sorted((rank[w & np.uint64((1 << 20) - 1)], w) for w in sets.items[:3])
