@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm.common import column_words, mixed, pieces, scratch, settled
@@ -11,6 +14,8 @@ from duskwatch.llm.rarity import CELLS, cell_counts, ranks
 
 #: Pairs of least hashes that variants of a line are first brought together by.
 GLANCES = 3
+#: Numbers of 64 bits in the wide bitmap of a line.
+WIDE = 8
 
 
 def _by_line(line, rare, words):
@@ -60,6 +65,15 @@ class LineSets:
 
         return self.each(np.bitwise_xor, np.uint64(1) << (self.items >> np.uint64(58))).view(np.int64)
 
+    def wide(self):
+        """Eight numbers a line, like ``bitmaps`` with 512 bits: still telling where a line has hundreds of words."""
+        import numpy as np
+
+        cell = (self.items >> np.uint64(49)).astype(np.int64) & 511
+        out = np.zeros(len(self.n) * WIDE, dtype=np.uint64)
+        np.bitwise_xor.at(out, self.line * WIDE + (cell >> 6), np.uint64(1) << (cell & 63).astype(np.uint64))
+        return out.view(np.int64)
+
     def glances(self):
         import numpy as np
 
@@ -108,8 +122,13 @@ def _whole(batches):
     for batch in (piece for whole in batches for piece in pieces(whole, 0)):
         sets = LineSets(batch.column(0))
         offsets = np.concatenate([[0], np.cumsum(sets.n)]).astype(np.int32)
+        eights = np.arange(len(sets.n) + 1, dtype=np.int32) * WIDE
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sets.ids()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.items.view(np.int64)))], names=["set", "items"]
+            [
+                pa.array(sets.ids()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.items.view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(eights), pa.array(sets.wide())),
+            ],
+            names=["set", "items", "wide"],
         )
 
 
@@ -120,17 +139,33 @@ def _fetch(pairs: DataFrame, classes: DataFrame, texts: DataFrame, have: DataFra
         wanted = wanted.join(have.select("id"), "id", "left_anti")
     wanted = settled(wanted.join(classes.select("id", "set", "doc_id"), "id"), "wanted-lines")
     holders = settled(wanted.select("doc_id").distinct(), "wanted-docs")
-    lines = texts.join(small_side(holders), "doc_id").select("text").mapInArrow(_whole, "set bigint, items array<bigint>")
+    lines = texts.join(small_side(holders), "doc_id").select("text").mapInArrow(_whole, "set bigint, items array<bigint>, wide array<bigint>")
     found = lines.join(small_side(wanted.select("set", "id")), "set")
-    return settled(found.groupBy("id").agg(F.first("items").alias("items")), "line-sets")
+    return settled(found.groupBy("id").agg(F.first("items").alias("items"), F.first("wide").alias("wide")), "line-sets")
+
+
+def _need(percent: int) -> Column:
+    """The least overlap that two sets of n_a and n_b words need."""
+    return F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of line sets with Jaccard >= percent / 100."""
-    left, right = (sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
+    """The pairs (a, b) of line sets with Jaccard >= percent / 100.
+
+    Wide bitmaps, a tenth of the sets, drop most of the others; only what is left moves whole sets.
+    """
+    maps = sets.select("id", F.size("items").alias("n"), "wide")
+    left, right = (maps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab")
+    differ = reduce(add, [F.bit_count(F.col("wide_a")[i].bitwiseXOR(F.col("wide_b")[i])) for i in range(WIDE)])
+    close = settled(
+        pairs.join(left, "a").join(right, "b").filter(differ <= F.col("n_a") + F.col("n_b") - 2 * _need(percent)).select("a", "b"), "lines-close"
+    )
+    wanted = settled(close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct(), "close-lines")
+    whole = settled(sets.select("id", "items").join(small_side(wanted), "id"), "close-sets")
+    left, right = (whole.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
     overlap = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - overlap
-    return pairs.join(left, "a").join(right, "b").filter(100 * overlap >= percent * union).select("a", "b")
+    return close.join(left, "a").join(right, "b").filter(100 * overlap >= percent * union).select("a", "b")
 
 
 def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -142,7 +177,7 @@ def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     Lines of one set are one class with one first place. Words of a set are ordered by rarity in the corpus; the
     rarest ones, as many as a set and a shorter or longer like one must share one of, are joined. Pairs pass a length filter,
     a positional filter and a 64-bit bitmap that differs in no more bits than the sets do in words;
-    then Jaccard is verified on the whole sets. Before that, classes that a pair of
+    then 512-bit ones are compared, and Jaccard is verified on the whole sets. Before that, classes that a pair of
     least hashes brings together are compared with the first of their group: what is like it is
     settled and searches no more, so a large group of variants is not paired out.
 
@@ -172,7 +207,7 @@ def _later(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         firsts.select("set", "at.*", "n", "bits", "prefix", "glances").orderBy("doc_id", "line").withColumn("id", F.monotonically_increasing_id()),
         "line-classes",
     )
-    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    need = _need(percent)
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     near_enough = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * need
     side = lambda df, s, *more: df.select(*more, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "bits")])

@@ -187,3 +187,14 @@ def test_line_sets_stand_by_rarity():
     assert sets.rows.tolist() == [0, 0, 2] and sets.numbers.tolist() == [0, 2, 0] and sets.n.tolist() == [3, 3, 3]
     assert len(set(sets.ids().tolist())) == 1 and len(set(sets.bitmaps().tolist())) == 1
     assert [(rank[w & np.uint64((1 << 20) - 1)], w) for w in sets.items[:3]] == sorted((rank[w & np.uint64((1 << 20) - 1)], w) for w in sets.items[:3])
+
+
+def test_bitmaps_of_lines_differ_in_no_more_bits_than_words():
+    random.seed(5)
+    lines = [" ".join(str(random.randrange(60 * 2 ** (i % 5))) for _ in range(random.randrange(1, 700))) for i in range(60)]
+    sets = LineSets(pa.array(["\n".join(lines)]))
+    plain = [set(line.split()) for line in lines]
+    narrow, wide = sets.bitmaps().reshape(-1, 1), sets.wide().reshape(len(lines), -1)
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        for maps in (narrow, wide):
+            assert sum(int(x).bit_count() for x in (maps[a] ^ maps[b]).view(np.uint64)) <= len(plain[a] ^ plain[b])
