@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from duskwatch.functions.lifecycle import day, days_until, parse_day
 from duskwatch.functions.versions import manifest_compatible, normalize_name
 from duskwatch.operators.dependencies import registry_packages
-from duskwatch.plans.joins import fits_broadcast, salted_join
+from duskwatch.plans.joins import fits_broadcast, salted_join, sized
 
 
 def latest_reports(reports: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def inventory_of_packages(spark, root: str, names: DataFrame) -> DataFrame:
 
 def new_entries(registry: DataFrame, seen: DataFrame) -> DataFrame:
     """Entries whose id nobody saw before; an edit to a known id is nothing new."""
-    return registry.join(seen.select("id"), "id", "left_anti")
+    return registry.join(sized(seen.select("id")), "id", "left_anti")
 
 
 def affected_repos(entries: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def affected_repos(entries: DataFrame, inventory: DataFrame) -> DataFrame:
     if fits_broadcast(packages):  # the few rows that meet a package go on; the fleet is not shuffled
         met = declared.join(F.broadcast(packages), "norm")
     else:
-        met = salted_join(declared, packages, ["norm"], "inner", spread=["repo", "manifest"])
+        met = salted_join(declared, packages, ["norm"], "inner", spread=["repo", "manifest"], large=True)
     fits = manifest_compatible(F.col("manifest"), F.col("applies_to"))
     return met.filter(fits).select("repo", "id").distinct()
 

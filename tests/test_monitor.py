@@ -123,3 +123,26 @@ def test_pattern_entries_with_packages_count(spark):
     registry = registry_from_rows(spark, [entry("e", "Pkg"), entry("none")])
     inventory = spark.createDataFrame([("a", "x/go.mod", "pkg", None)], "repo string, manifest string, name string, version string")
     assert [tuple(r) for r in affected_repos(registry, inventory).collect()] == [("a", "e")]
+
+
+def test_no_large_side_is_broadcast_for_notifications(spark, tmp_path, monkeypatch):
+    """Read from small files, sides measured as large were broadcast by estimate, one of them with a copy per salt."""
+    from conftest import plan_of
+
+    from duskwatch.operators import inventory as inventories
+    from duskwatch.operators.inventory import notifications
+    from duskwatch.plans import joins
+
+    spark.range(40).selectExpr(
+        "concat('e', id) as id", "'pattern' as match", "cast(null as string) as version_range", "array('*') as applies_to",
+        "named_struct('sdk', array(concat('p', id))) as detect",
+    ).write.parquet(f"{tmp_path}/registry")
+    spark.range(60).selectExpr("concat('r', id % 7) as repo", "'go.mod' as manifest", "concat('p', id) as name").write.parquet(f"{tmp_path}/inventory")
+    registry, inventory = spark.read.parquet(f"{tmp_path}/registry"), spark.read.parquet(f"{tmp_path}/inventory")
+    sent = spark.createDataFrame([("r6", "e20")], "repo string, id string")
+    for module in (joins, inventories):
+        monkeypatch.setattr(module, "fits_broadcast", lambda df: False)
+    due = notifications(registry, registry.filter("substr(id, 2) < '2'"), inventory, sent)
+    assert "BroadcastHashJoin [id" not in plan_of(due) and "BroadcastHashJoin [norm" not in plan_of(due)
+    new = [n for n in range(40) if str(n) >= "2"]
+    assert sorted(map(tuple, due.collect())) == sorted((f"r{n % 7}", f"e{n}") for n in new if n != 20)
