@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalogue.manifests import _REGISTRY, _raw_registry
@@ -162,10 +163,13 @@ def registry_snapshot(spark, folder):
 def _registry_file(spark, folder, wrapped: bool) -> str:
     """The registry made from parts as one JSON document, as an object or as a bare array."""
     entries = _raw_registry(spark, folder).filter("entry is not null").select(F.to_json("entry").alias("text"), "entry_ord")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_ord", "text"))), lambda e: e["text"]), ",\n")
-    shape = [F.lit('{"deprecations": ['), listed, F.lit("]}")] if wrapped else [F.lit("["), listed, F.lit("]")]
+    ends = ('{"deprecations": [', "]}") if wrapped else ("[", "]")
+    # Line by line in one sorted file: no entry waits for another in memory.
+    edges = spark.createDataFrame([(0, ends[0]), (2, ends[1])], "part int, text string")
+    ordered = entries.select(F.lit(1).alias("part"), "entry_ord", "text").unionByName(edges.withColumn("entry_ord", F.lit(None).cast("bigint")))
     path = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
-    entries.agg(F.concat(*shape).alias("value")).coalesce(1).write.text(path)
+    first = F.lag("part").over(W.partitionBy(F.lit(1)).orderBy("part", "entry_ord", "text")) == 0
+    ordered.select(F.when((F.col("part") == 1) & ~first, F.concat(F.lit(","), "text")).otherwise(F.col("text")).alias("value")).write.text(path)
     return path
 
 
