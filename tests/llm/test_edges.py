@@ -159,3 +159,18 @@ def test_copied_secrets_and_own_ones(spark):
     got = {r.doc_id: r for r in scan_secrets(docs, F.concat("owner", "repo"), F.col("owner")).collect()}
     assert all((got[i].n_live, got[i].n_copied, got[i].most_owners) == (0, 1, 5) for i in range(5))
     assert got[9].n_live == 2 and got[9].spans.endswith(f"owned:40:{40 + len(key) + 4}")
+
+
+def test_no_edited_passage_is_lost_for_want_of_seeds(spark):
+    """Ten of 50 words replaced leave runs of four and three words: seven 4-mers, of which a share by chance holds fewer than two now and then."""
+    runs, rows, wanted = [4, 3, 4, 4, 3, 4, 3, 4, 4, 3, 4], [], []
+    for n in range(120):
+        words, at = [f"w{n}x{i}" for i in range(50)], -1
+        edited = list(words)
+        for run in runs[:-1]:
+            at += run + 1
+            edited[at] = f"other{n}x{at}"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(edited))]
+        wanted.append((2 * n + 1, 2 * n, 40))
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "first_doc_id", "matched")
+    assert sorted(map(tuple, found.collect())) == wanted
