@@ -114,3 +114,36 @@ def test_checkouts_on_disk(spark, tmp_path):
     assert got == {
         ("r1", "src/a.js"): "x�", ("r2", ".git/config"): "[core]", ("r1", "__init__.py"): "", ("r1", "go.mod"): "z" * 50,
     }
+
+
+def test_ignore_rules_too_many_to_broadcast_are_not(spark, tmp_path, monkeypatch):
+    """Their estimated size knows nothing of the copies that salts make of them."""
+    from conftest import plan_of
+
+    from duskwatch.sources import files as sources
+
+    rules = sources.ignore_rules(spark.createDataFrame([(f"r{n}", ".duskignore", "gen/") for n in range(9)], "repo string, path string, content string"))
+    rules.write.parquet(f"{tmp_path}/rules")
+    rows = spark.range(30).selectExpr("concat('r', id % 10) as repo", "if(id % 3 = 0, 'gen/a.js', 'src/a.js') as path")
+    wanted = sorted(("r%d" % (n % 10), "gen/a.js" if n % 3 == 0 else "src/a.js") for n in range(30) if n % 3 or n % 10 == 9)
+    for fits in (True, False):
+        monkeypatch.setattr(sources, "fits_broadcast", lambda df: fits)
+        kept = sources.drop_ignored(rows, spark.read.parquet(f"{tmp_path}/rules"))
+        assert ("BroadcastHashJoin" in plan_of(kept)) == fits
+        assert sorted(map(tuple, kept.collect())) == wanted
+
+
+def test_a_corpus_is_written_without_a_sort_of_its_texts(spark, tree, tmp_path, monkeypatch):
+    """The sort held all rows of a task in memory."""
+    from pyspark.sql import DataFrameWriter
+
+    from duskwatch.sources import files as sources
+
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    write, before = DataFrameWriter.parquet, spark.conf.get(name)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (seen.append(int(spark.conf.get(name))), write(self, path))[1])
+    paths = ["package.json", ".duskignore", ".git/config", ".github/workflows/a.yml", "a.js", "README.md"]
+    sources.write_corpus(tree({p: p for p in paths}), f"{tmp_path}/corpus")
+    kept = sources.read_corpus(spark, f"{tmp_path}/corpus").select("path", "kind").collect()
+    assert sorted(r.path for r in kept) == sorted(paths) and {r.kind for r in kept} == set(sources.KINDS)
+    assert seen == [len(sources.KINDS)] and spark.conf.get(name) == before
