@@ -9,6 +9,7 @@ from duskwatch import registry_from_rows
 from duskwatch.functions.versions import normalize_name, version_in_range, version_numbers
 from duskwatch.operators.audit import pattern_audit, registry_audit, unusable_patterns
 from duskwatch.operators.dependencies import match_dependencies, versions_in_ranges
+from duskwatch.plans.joins import dealt
 from duskwatch.sources.manifests import (
     dependencies,
     go_mod_dependencies,
@@ -291,8 +292,8 @@ def _pattern_registry(spark, folder):
         F.concat("p_name", F.lit("-"), F.col("p_size").cast("string")).alias("id"), F.col("p_brand").alias("vendor"), F.col("p_name").alias("title"),
         F.lit("low").alias("severity"), F.struct(F.array(pick(1), pick(2)).alias("patterns"), F.array(F.lit("m(")).alias("models")).alias("detect"),
     )
-    rows = table(spark, folder, "part").select("p_partkey", F.to_json(entry).alias("text"))
-    return entries_of_json(rows, "text", "p_partkey")
+    parts = dealt(table(spark, folder, "part").select("p_partkey", "p_name", "p_size", "p_brand"))
+    return entries_of_json(parts.select("p_partkey", F.to_json(entry).alias("text")), "text", "p_partkey")
 
 
 def patterns_unusable(spark, folder):

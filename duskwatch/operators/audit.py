@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duskwatch.fixed import EXTENSION_TOKEN
 from duskwatch.functions.lifecycle import effective_status, parse_day
 from duskwatch.functions.regexes import UnsupportedRegex, model_regex, to_java
+from duskwatch.plans.joins import dealt
 from duskwatch.sources.registry import coerce_entries
 
 
@@ -65,12 +66,12 @@ def unusable_patterns(raw: DataFrame) -> DataFrame:
     """Expressions of the valid pattern entries of ``raw`` that a scan would set aside, with the reason.
 
     Judged by the grammar of the registry's dialect and by what can run at any length of text, on the executors: a registry of any
-    size can be audited before it is taken over.
+    size can be audited before it is taken over. Expressions are dealt to all cores, in whatever few splits the entries came.
     """
     entries = coerce_entries(raw).filter("valid and match = 'pattern'")
     named = lambda kind: F.transform(f"detect.{kind}s", lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("source")))
     every = entries.select("entry_ord", "id", F.explode(F.concat(named("pattern"), named("model"))).alias("e"))
-    return every.select("entry_ord", "id", "e.kind", "e.source").mapInArrow(
+    return dealt(every.select("entry_ord", "id", "e.kind", "e.source")).mapInArrow(
         _told, "entry_ord bigint, id string, kind string, source string, reason string"
     )
 

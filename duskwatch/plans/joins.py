@@ -1,4 +1,4 @@
-"""Joins whose keys may be hot, and the size check behind every broadcast."""
+"""Joins whose keys may be hot, the size check behind every broadcast, and rows dealt to all cores."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 16
+TASKS_PER_CORE = 4
 
 
 def fits_broadcast(
@@ -27,6 +28,11 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df.hint("merge")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Narrow rows that each cost much, dealt to all cores: a small file is one split, however long its rows take."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * TASKS_PER_CORE)
+
+
 def as_constants(df: DataFrame) -> DataFrame:
     """A table that :func:`fits_broadcast` as constants of the plan: what made it is not planned or run again."""
     return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
