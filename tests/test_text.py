@@ -146,3 +146,17 @@ def test_citation_is_one_whole_line(spark):
     df = spark.createDataFrame([("  a\n\t b c  ",), ("x" * 300,)], "t string")
     got = [r.c for r in df.select(cite(F.col("t")).alias("c")).collect()]
     assert got == ["a b c", "x" * 300]
+
+
+def test_line_hits_over_several_lines_and_on_one(spark):
+    text = "a1 a2\nb\na3 (x\n y) a4 (z)\n(\n\n) a5\n\na6"
+    rows = spark.createDataFrame([(text, [9])], "text string, ignored array<int>")
+
+    def hits(regex, ignored=None, cap=None):
+        return [tuple(h) for h in rows.select(line_hits(F.col("text"), regex, ignored, cap)).first()[0]]
+
+    assert hits(r"a\d") == [(1, "a1"), (3, "a3"), (4, "a4"), (7, "a5"), (9, "a6")]
+    assert hits(r"a\d", F.col("ignored"), 3) == [(1, "a1"), (3, "a3"), (4, "a4")]
+    assert hits(r"a\d", F.col("ignored")) == [(1, "a1"), (3, "a3"), (4, "a4"), (7, "a5")]
+    assert hits(r"\([^)]*\)|a[36]") == [(3, "a3"), (4, "(z)"), (5, "( )"), (9, "a6")]
+    assert hits(r"(?=a5)|b\na") == [(2, "b a"), (7, "")]
