@@ -201,21 +201,21 @@ _MEMBER_JSON = """concat('{"dependencies": {"', lower(replace(o_orderpriority, '
 _REQS = """concat('flask>=', c_nationkey, chr(10), '# no', chr(10), lower(c_mktsegment), '_py')"""
 
 
-def _manifest_files(spark, folder):
-    customers = table(spark, folder, "customer")
-    orders = spread_table(
-        spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"
+def _manifest_files(spark, folder, others=()):
+    """Files of repositories: those of every customer, ``others`` (path, content) among them, and a member for every order.
+
+    Rows of both tables are dealt to all cores together, before they become files: every task makes files of each kind.
+    """
+    customers = table(spark, folder, "customer").select(F.lit(True).alias("root"), "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    listed = lambda files: ", ".join(f"named_struct('path', {path}, 'content', {content})" for path, content in files)
+    of_root = [
+        ("'package.json'", _ROOT_JSON), ("'requirements.txt'", _REQS), ("case when c_acctbal < 0 then 'go.mod' end", "'require broken'"), *others,
+    ]
+    return dealt(customers.unionByName(orders, allowMissingColumns=True)).selectExpr(
+        "concat('c', if(root, c_custkey, o_custkey)) as repo",
+        f"inline(if(root, filter(array({listed(of_root)}), f -> f.path is not null), array({listed([(_MEMBER_PATH, _MEMBER_JSON)])})))",
     )
-    repo = "concat('c', c_custkey) as repo"
-    root = customers.selectExpr(repo, "'package.json' as path", f"{_ROOT_JSON} as content")
-    requirements = customers.selectExpr(repo, "'requirements.txt' as path", f"{_REQS} as content")
-    members = orders.selectExpr(
-        "concat('c', o_custkey) as repo", f"{_MEMBER_PATH} as path", f"{_MEMBER_JSON} as content"
-    )
-    broken = customers.filter("c_acctbal < 0").selectExpr(
-        repo, "'go.mod' as path", "'require broken' as content"
-    )
-    return root.unionByName(requirements).unionByName(members).unionByName(broken)
 
 
 def manifest_inventory(spark, folder):

@@ -46,16 +46,14 @@ def _registry(spark):
 
 
 def _files(spark, folder):
-    customers = table(spark, folder, "customer")
-    files = _manifest_files(spark, folder)
-    for path, content in _OTHER_FILES:
-        files = files.unionByName(customers.selectExpr("concat('c', c_custkey) as repo", f"{path} as path", f"{content} as content"))
-    return files.withColumn("size", F.octet_length("content").cast("bigint"))
+    return _manifest_files(spark, folder, _OTHER_FILES).withColumn("size", F.octet_length("content").cast("bigint"))
 
 
 def _scanned(spark, folder):
+    """A scan of a stored corpus: its files are made once, spread over all cores, and each branch reads its own kinds."""
     store = f"{shared_folder(spark)}/whole-{uuid.uuid4().hex}"
-    return scan(_files(spark, folder), _registry(spark), now=NOW, store=store)
+    write_corpus(_files(spark, folder), f"{store}/corpus")
+    return scan(read_corpus(spark, f"{store}/corpus"), _registry(spark), now=NOW, store=store)
 
 
 def scan_findings(spark, folder):
