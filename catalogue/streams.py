@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalogue.views import table
 from duskwatch.operators.inventory import current_inventory, latest_findings, latest_inventory
+from duskwatch.plans.joins import dealt
 from duskwatch.session import shared_folder
 from duskwatch.sinks.reports import read_table
 from duskwatch.streaming.monitor import drop_repeats, ingest_reports, keep_first, notify_new_entries
@@ -34,8 +35,14 @@ _UPLOAD = [
 ]
 
 
+def _uploads(spark, folder, *more):
+    """Orders are dealt to all cores while they are narrow: a file is one split, and what a report holds is many times its order."""
+    orders = _stream(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    return dealt(orders).selectExpr(*_UPLOAD, *more)
+
+
 def _ingest(spark, folder, root):
-    uploads = _stream(spark, folder, "orders").selectExpr(*_UPLOAD)
+    uploads = _uploads(spark, folder)
     ingest_reports(uploads, root, f"{root}/checkpoint-reports").awaitTermination()
 
 
@@ -191,7 +198,7 @@ def stream_findings(spark, folder):
     found = """transform(sequence(0, cast(o_custkey % 3 as int)), i -> named_struct('id', concat('e', i), 'severity', 'low', 'baseSeverity', 'high',
       'status', 'scheduled', 'sunset_date', date_format(o_orderdate, 'yyyy-MM-dd'), 'testOnly', i = 1, 'mentionOnly', false,
       'patternMatches', transform(sequence(1, i + 1), k -> named_struct('file', concat('f', k), 'line', k, 'text', 'x', 'mention', false)))) as findings"""
-    uploads = _stream(spark, folder, "orders").selectExpr(*_UPLOAD, found)
+    uploads = _uploads(spark, folder, found)
     ingest_reports(uploads, root, f"{root}/checkpoint").awaitTermination()
     reports = read_table(spark, root, "reports")
     key = ["repo", "report_id", "id"]

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duskwatch.plans.joins import as_constants, fits_broadcast
+
 REPORTS = (
     "repo string, report_id string, reported_at timestamp, version string, scanned_files long, detected long, "
     "stream string, batch long"
@@ -123,17 +125,34 @@ def scan_rows(result, reported_at: str, version: str) -> dict[str, DataFrame]:
     }
 
 
+def _one_of_each(uploads: DataFrame) -> DataFrame:
+    """One upload per repository and time. Where few are repeated, only these move; the others stay where they were read."""
+    key = ("repo", "reportedAt")
+    rest = F.struct(*[c for c in uploads.columns if c not in key])
+
+    def first(rows: DataFrame) -> DataFrame:
+        u = F.min_by(rest, F.to_json(rest, {"ignoreNullFields": "false"})).alias("u")
+        return rows.groupBy(*key).agg(u).select(*key, "u.*")
+
+    repeated = uploads.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key).persist()
+    try:
+        if not fits_broadcast(repeated):
+            return first(uploads)
+        known = F.broadcast(as_constants(repeated).toDF("_repo", "_at"))
+    finally:
+        repeated.unpersist()
+    same = F.col("repo").eqNullSafe(F.col("_repo")) & F.col("reportedAt").eqNullSafe(F.col("_at"))
+    several = first(uploads.join(known, same, "left_semi"))
+    return uploads.join(known, same, "left_anti").select(several.columns).unionByName(several)
+
+
 def append_reports(uploads: DataFrame, root: str, batch: Batch) -> None:
     """Store a batch of uploads. A report delivered twice, in one batch or in two, counts once.
 
     Of different uploads under one repository and time, the one that comes first as JSON is taken, report
     and inventory from the same.
     """
-    rest = F.struct(*[c for c in uploads.columns if c not in ("repo", "reportedAt")])
-    once = (
-        uploads.groupBy("repo", "reportedAt").agg(F.min_by(rest, F.to_json(rest, {"ignoreNullFields": "false"})).alias("u"))
-        .select("repo", "reportedAt", "u.*")
-    )
+    once = _one_of_each(uploads)
     once = once.persist()
     try:
         store_reports(report_rows(once), root, batch)

@@ -101,7 +101,8 @@ class State:
         """The rows of the buckets that hold ``keys(*by)``, or of all, as they are stored."""
         runs = self.runs(ahead_of)
         if not runs:
-            return self.spark.createDataFrame([], self.schema)
+            # The limit tells the optimizer: joins with a state that is not there yet move nothing.
+            return self.spark.createDataFrame([], self.schema).limit(0)
         if keys is None:
             return self._stored(runs).drop("bucket")
         # At most as many numbers as there are buckets.
