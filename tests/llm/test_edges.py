@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from duskwatch.llm.jaccard import near_duplicates, one_of_each
 from duskwatch.llm.lines import count_later_lines, dedup_lines
 from duskwatch.llm.packing import pack_documents
 from duskwatch.llm.pages import extract_main_text
-from duskwatch.llm.passages import repeated_passages
+from duskwatch.llm.passages import can_hold, repeated_passages
 from duskwatch.llm.personal import find_personal_data
 from duskwatch.llm.quality import judge_quality, keep_quality
 from duskwatch.llm.secrets import scan_secrets
@@ -174,3 +175,35 @@ def test_no_edited_passage_is_lost_for_want_of_seeds(spark):
         wanted.append((2 * n + 1, 2 * n, 40))
     found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "first_doc_id", "matched")
     assert sorted(map(tuple, found.collect())) == wanted
+
+
+@pytest.mark.parametrize("edits", [[], [7], [4, 9, 14, 19, 24, 29, 34, 39, 44, 48]])
+def test_passages_whose_seeds_lead_to_other_documents(spark, edits):
+    """A passage made of two parts that earlier documents hold each, copied with the words changed where the parts meet."""
+    rows, wanted = [], []
+    for n in range(20):
+        passage = [f"p{n}x{i}" for i in range(60)]
+        edited = [f"new{n}x{i}" if i in (27, 31, *edits[:8]) else word for i, word in enumerate(passage)]
+        around = lambda key, words, n=n: " ".join([*(f"a{n}x{key}x{i}" for i in range(70)), *words, *(f"z{n}x{key}x{i}" for i in range(70))])
+        for key, words in enumerate((passage[:30], passage[30:], passage, edited)):
+            rows.append((10 * n + key, around(key, words)))
+        wanted.append((10 * n + 3, 10 * n + 2))
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.first_doc_id) for r in found) == wanted
+    assert all(70 <= r.start_word and r.end_word <= 130 and r.end_word - r.start_word >= 50 for r in found)
+
+
+def test_frequent_lines_and_runs_of_one_word_are_no_passages(spark):
+    line = "Licensed to all under the terms that are given below"
+    rows = [(i, prose(70, 100 + i) + f" {line} " + prose(40, 300 + i) + " the" * 30 + " " + prose(70, 500 + i)) for i in range(40)]
+    assert repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
+
+
+def test_runs_that_edits_can_explain():
+    """By hand: ten edits break forty of 47 k-mers in fours, not forty of which one group has five."""
+    broken = np.zeros(47, dtype=bool)
+    broken[:40] = True
+    assert can_hold(broken, 4, 47, 10).tolist() == [True]
+    broken[43] = True
+    assert can_hold(broken, 4, 47, 10).tolist() == [False]
+    assert can_hold(broken[:46], 4, 47, 10).tolist() == []
